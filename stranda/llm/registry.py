@@ -8,6 +8,9 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_token_store": "token_store",
+    "op2_quality": "quality",
+    "op5_language_id": "langid",
     "op7_line_dedup": "line_dedup",
     "op10_simhash": "simhash",
 }
