@@ -21,7 +21,7 @@ import io
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,35 +48,51 @@ BASE = [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_sym
 SCORE = [T.StructField("log_perplexity", T.DoubleType())]
 
 
-class Classes(dict):
+def symbol_class(c: str) -> int:
     """A character's class: a to z, digits, punctuation, and 32 classes into which all others fall by code point."""
-
-    def __missing__(self, c: str) -> int:
-        if "a" <= c <= "z":
-            k = 3 + ord(c) - 97
-        elif c.isdigit():
-            k = 29
-        elif ord(c) < 128:
-            k = 30 if c in ".,;:!?'\"-()" else 31
-        else:
-            k = 32 + ord(c) % 32
-        self[c] = k
-        return k
+    if "a" <= c <= "z":
+        return 3 + ord(c) - 97
+    if c.isdigit():
+        return 29
+    if ord(c) < 128:
+        return 30 if c in ".,;:!?'\"-()" else 31
+    return 32 + ord(c) % 32
 
 
-CLASSES = Classes()
+def class_table() -> np.ndarray:
+    """Classes by code point."""
+    table = (32 + np.arange(0x110000) % 32).astype(np.uint8)
+    for k in range(0x3000):
+        table[k] = symbol_class(chr(k))
+    digits = [k for k in range(0x3000, 0x20000) if chr(k).isdigit()]
+    table[digits] = 29
+    return table
 
 
-def word_symbols(word: str) -> list[int]:
-    return [BOS, *map(CLASSES.__getitem__, word.lower()), EOS]
+_table: list[np.ndarray] = []
 
 
-def grams(symbols: list[int]) -> Iterator[int]:
-    """For each symbol but the first, itself and up to three before it, as a key of 24 bits."""
-    key = symbols[0]
-    for s in symbols[1:]:
-        key = (key << SHIFT | s) & MASKS[ORDER]
-        yield key
+def word_symbols(word: str) -> list[int]:
+    return [BOS, *map(symbol_class, word.lower()), EOS]
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of each word but the first, itself and up to three before it, as a key of 24 bits; and how many each word has."""
+    if not _table:
+        _table.append(class_table())
+    # Line feeds, which no word holds, stand for the end of one word and the start of the next.
+    points = np.frombuffer(("\n" + "\n".join(words) + "\n").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = points == 10
+    now = _table[0][points].astype(np.int64)
+    before = np.where(edge, BOS, now)
+    now[edge] = EOS
+    key = now[1:] | before[:-1] << SHIFT
+    open_ = ~edge[:-1]  # the symbol before isn't a start
+    for k in (2, 3):
+        key[k - 1 :] |= np.where(open_[k - 1 :], before[: -k], 0) << SHIFT * k
+        if k == 2:
+            open_ = open_ & np.concatenate([[False], ~edge[:-2]])
+    return key, np.diff(np.flatnonzero(edge))
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -85,13 +101,12 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     def tally(words: dict[str, Counter]) -> list:
         out = [[], [], []]
         for code, counts in words.items():
-            keys: Counter = Counter()
-            for word, n in counts.items():
-                for key in grams(word_symbols(word)):
-                    keys[key] += n
-            out[0] += repeat(code, len(keys))
-            out[1] += keys.keys()
-            out[2] += keys.values()
+            if counts:
+                keys, sizes = grams(list(counts))
+                keys, at = np.unique(keys, return_inverse=True)
+                out[0] += repeat(code, len(keys))
+                out[1] += keys.tolist()
+                out[2] += np.bincount(at, np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), sizes)).astype(np.int64).tolist()
         words.clear()
         return out
 
@@ -174,12 +189,10 @@ def load(path: str) -> dict[str, np.ndarray]:
 
 def log_probs(model: dict[str, np.ndarray], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each word, the sum of its symbols' log probabilities, and its symbols."""
-    keys: list[int] = []
-    sizes: list[int] = []
-    for w in words:
-        keys += grams(word_symbols(w))
-        sizes.append(len(w.lower()) + 1)
-    key = np.array(keys, dtype=np.int64)
+    if not words:
+        return np.zeros(0), np.zeros(0, np.int64)
+    every, sizes = grams(words)
+    key, place = np.unique(every, return_inverse=True)
     total = np.zeros(len(key))
     open_ = np.arange(len(key))
     for k in range(ORDER, 0, -1):
@@ -203,9 +216,7 @@ def log_probs(model: dict[str, np.ndarray], words: list[str]) -> tuple[np.ndarra
             open_ = open_[~done[open_]]
         else:
             total[missed] += model["unseen"][0]
-    ends = np.cumsum(sizes)
-    sums = np.add.reduceat(total, ends - sizes) if len(sizes) else np.zeros(0)
-    return sums, np.array(sizes)
+    return np.add.reduceat(total[place], np.cumsum(sizes) - sizes), sizes
 
 
 class Scorer:
@@ -218,21 +229,42 @@ class Scorer:
 
     def score(self, words: list[str]) -> float:
         """Log perplexity of a text's words."""
-        new = list({w for w in words if w not in self.at})
-        if len(self.at) + len(new) > self.most:
-            self.at.clear()
-            new = list(set(words))
-            if len(new) > self.most:  # a text of so many different words is scored by itself
-                counts = Counter(words)
-                n = np.array([counts[w] for w in new])
-                sums, sizes = log_probs(self.model, new)
-                return -float(sums @ n) / float(sizes @ n)
-        if new:
+        return self.scores([words])[0]
+
+    def scores(self, texts: list[list[str]]) -> list[float]:
+        """Log perplexities of texts with words, some at once."""
+        out, at, size = [], 0, 0
+        for k, words in enumerate(texts):
+            size += len(words)
+            if size > 200_000 or k == len(texts) - 1:
+                out += self._some(texts[at : k + 1])
+                at, size = k + 1, 0
+        return out
+
+    def _some(self, texts: list[list[str]]) -> list[float]:
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        words = list(chain.from_iterable(texts))
+        rows = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(rows < 0)
+        if len(missed):
+            new = list({words[i] for i in missed.tolist()})
+            if len(self.at) + len(new) > self.most:
+                self.at.clear()
+                new = list(set(words))
+                if len(new) > self.most:  # so many different words at once are scored by themselves
+                    return [self._alone(t) for t in texts]
             start = len(self.at)
             self.at.update(zip(new, range(start, start + len(new)), strict=True))
             self.sums[start : start + len(new)], self.sizes[start : start + len(new)] = log_probs(self.model, new)
-        rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        return -self.sums[rows].sum() / self.sizes[rows].sum()
+            rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        return (-np.add.reduceat(self.sums[rows], starts) / np.add.reduceat(self.sizes[rows], starts)).tolist()
+
+    def _alone(self, words: list[str]) -> float:
+        counts = Counter(words)
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        sums, sizes = log_probs(self.model, list(counts))
+        return -float(sums @ n) / float(sizes @ n)
 
 
 def repeated_words(words: list[str]) -> int:
@@ -240,14 +272,17 @@ def repeated_words(words: list[str]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    if len(number) < 1 << 21:
-        _, at, counts = np.unique(ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:], return_inverse=True, return_counts=True)
+    ids = np.fromiter(map({}.setdefault, words, count()), np.int64, n)  # a word's first place
+    if n < 1 << 21:
+        windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
     else:
-        pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
-        _, at, counts = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
-    again = counts[at] > 1
+        pairs = np.unique(ids[:-1] * n + ids[1:], return_inverse=True)[1]
+        windows = pairs[:-1] * n + ids[2:]
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
+    again = twice[np.minimum(np.searchsorted(twice, windows), len(twice) - 1)] == windows
     covered = np.zeros(n, bool)
     for k in range(3):
         covered[k : n - 2 + k] |= again
@@ -281,17 +316,19 @@ class QualityModel:
         files = self.files
 
         def run(scorers, langs, column):
-            out = []
-            for code, t in zip(langs.to_pylist(), common.texts(column), strict=True):
-                words = WORD.findall(t)
-                code = code or ""
-                if words and code in files:
-                    if code not in scorers:
-                        scorers[code] = Scorer(load(SparkFiles.get(files[code])), max(20_000, 300_000 // len(files)))
-                    score = scorers[code].score(words)
-                else:
-                    score = None
-                out.append((*base_rules(t, words, min_words, max_repeat), score))
+            whole = common.texts(column)
+            words = [WORD.findall(t) for t in whole]
+            scores: list[float | None] = [None] * len(whole)
+            by: dict[str, list[int]] = {}
+            for i, code in enumerate(langs.to_pylist()):
+                if words[i] and (code or "") in files:
+                    by.setdefault(code or "", []).append(i)
+            for code, rows in by.items():
+                if code not in scorers:
+                    scorers[code] = Scorer(load(SparkFiles.get(files[code])), max(20_000, 300_000 // len(files)))
+                for i, score in zip(rows, scorers[code].scores([words[i] for i in rows]), strict=True):
+                    scores[i] = score
+            out = [(*base_rules(t, w, min_words, max_repeat), s) for t, w, s in zip(whole, words, scores, strict=True)]
             return [list(c) for c in zip(*out, strict=True)] or [[] for _ in range(7)]
 
         return common.add_columns(docs, BASE + SCORE, run, [lang, text], dict, keep)

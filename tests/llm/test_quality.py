@@ -85,7 +85,7 @@ def test_base_rules_match_plain_ones():
 def test_model_matches_dictionaries_and_sums_to_one():
     rng = random.Random(2)
     texts = [random_text(rng, ["there", "the", "then", "hat", "Ärger", "a,", "9"], 60) for _ in range(5)]
-    counts = Counter(k for t in texts for w in Q.WORD.findall(t) for k in Q.grams(Q.word_symbols(w)))
+    counts = Counter(k for t in texts for k in Q.grams(Q.WORD.findall(t))[0].tolist())
     model = Q.fit(np.array(list(counts), dtype=np.int64), np.array(list(counts.values())))
     prob = plain_model(texts)
     words = ["the", "tha", "zebra", "Ä", "9,9", "q" * 300]
@@ -100,7 +100,7 @@ def test_model_matches_dictionaries_and_sums_to_one():
 
 
 def test_model_survives_its_file(tmp_path):
-    counts = Counter(k for w in "one two three two".split() for k in Q.grams(Q.word_symbols(w)))
+    counts = Counter(Q.grams("one two three two".split())[0].tolist())
     model = Q.fit(np.array(list(counts), dtype=np.int64), np.array(list(counts.values())))
     (tmp_path / "m").write_bytes(Q.dump(model))
     again = Q.load(str(tmp_path / "m"))
@@ -109,6 +109,20 @@ def test_model_survives_its_file(tmp_path):
     assert Q.log_probs(empty, ["ab"])[0][0] == pytest.approx(0.0)
 
 
+def test_grams_are_the_last_four_symbols():
+    words = ["a", "Ab", "there,", "ΑΣ", "İx", "9²Ⅷ", "日本語", "\x1c\x00"]
+    keys, sizes = Q.grams(words)
+    want = []
+    for w in words:
+        s = Q.word_symbols(w)
+        for i in range(1, len(s)):
+            key = 0
+            for c in s[max(0, i - 3) : i + 1]:
+                key = key << 6 | c
+            want.append(key)
+    assert keys.tolist() == want and sizes.tolist() == [len(Q.word_symbols(w)) - 1 for w in words]
+
+
 def frame(spark, rng):
     words = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 7))) for _ in range(400)]
     rows = [(i, random_text(rng, words, 120), "aa" if i % 2 else None, "clash", 1) for i in range(60)]
@@ -137,7 +151,7 @@ def test_query_rows_and_filter_agree(spark):
 
 
 def test_scorer_forgets_words_without_changing_scores():
-    counts = Counter(k for w in "alpha beta gamma delta".split() for k in Q.grams(Q.word_symbols(w)))
+    counts = Counter(Q.grams("alpha beta gamma delta".split())[0].tolist())
     model = Q.fit(np.array(list(counts), dtype=np.int64), np.array(list(counts.values())))
     wide, narrow = Q.Scorer(model), Q.Scorer(model, most=3)
     for text in ("alpha beta", "gamma delta beta", "a b c d e f", "alpha alpha"):
