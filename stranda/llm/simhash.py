@@ -169,7 +169,9 @@ def links(fps: DataFrame) -> DataFrame:
     shared = common.save(posts.join(sizes, "key"), "simhash-postings")
     short = shared.filter(F.col("n") <= LONG)
     long = fifth_byte(shared.filter(F.col("n") > LONG))
-    both = short.select("key", "fp").unionByName(long)
+    # A list's cost isn't in its bytes, so lists are dealt to a fixed number of tasks.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    both = short.select("key", "fp").unionByName(long).repartition(parts, "key")
     return both.groupBy("key").applyInPandas(solve, "a bigint, b bigint").distinct()
 
 
@@ -199,13 +201,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) for each row."""
+    return rooted(docs, size, text, doc_id).select(doc_id, "fp", "component_id")
+
+
+def rooted(docs: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, fp, root, component_id): with the component's smallest fingerprint."""
     marked = common.save(fingerprints(docs, size, text, keep=[doc_id]), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min(doc_id).alias("least"))
     distinct = common.save(distinct, "fingerprint-groups")
     roots = components(links(distinct))
-    rooted = common.save(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(doc_id, "fp", "component_id")
+    groups = common.save(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    named = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(groups.join(named, "root").select("fp", "root", "component_id"), "fp").select(doc_id, "fp", "root", "component_id")
+
+
+def kept(docs: DataFrame, size: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component, with its own columns: the one with the smallest doc_id (null only if all are)."""
+    found = rooted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, "text", "doc_id")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("r"))
+    first = first.select(F.col("r.doc_id").alias("__id"), F.col("r.fp").alias("__fp"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+    marked = fingerprints(rows, size, "__text", keep=["__row", "__doc"])
+    stay = marked.join(first, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")), "left_semi")
+    # Repeated rows of one document are one document.
+    return stay.dropDuplicates(["__doc", "fp"]).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
