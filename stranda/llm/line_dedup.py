@@ -307,6 +307,17 @@ def kept_digest(column: pa.Array, gone: list[list[bool]]) -> list:
     return [[r[1] for r in rows], [r[2] for r in rows], [hashlib.sha256(r[0]).hexdigest() for r in rows]]
 
 
+def deduplicated(docs: DataFrame, min_docs: int = 10, text: str = "text") -> DataFrame:
+    """All rows, with frequent lines taken out of their texts; ``n_chars``, if there, becomes the new length. A null text stays null."""
+    state = LineDedup(docs.sparkSession, min_docs).insert(docs, text)
+    rows = state.dropped_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__text")), "__text")
+    new = F.when(F.col("__text").isNull(), None).otherwise(F.col("kept_text"))
+    out = {c: F.col(f"__row.`{c}`") for c in docs.columns} | {text: new}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("n_dropped") > 0, F.length(new)).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in out.items()])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     state = LineDedup(spark, min_docs=10, min_chars=1).insert(docs)

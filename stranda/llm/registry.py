@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_token_store": "token_store",
     "op2_quality": "quality",
+    "op3_bpe": "bpe",
+    "op4_knn": "knn",
     "op5_language_id": "langid",
+    "op6_packing": "packing",
     "op7_line_dedup": "line_dedup",
+    "op8_url_filter": "url_filter",
+    "op9_chat": "chat",
     "op10_simhash": "simhash",
 }
 
