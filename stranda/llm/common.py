@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows that a Python function sees at once; Arrow batches are cut to this many.
 SLICE = 512
+#: More rows than SLICE make at most so many bytes.
+SLICE_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,8 +94,11 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., li
     return source.mapInArrow(run, schema)
 
 
-def emit(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[list[pa.Array]]], Iterator[list]], inputs: list[str]) -> DataFrame:
-    """Rows of another shape: ``fn`` gets an iterator of the input columns, at most SLICE rows at once, and yields lists of columns."""
+def emit(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[list[pa.Array]]], Iterator[list]], inputs: list[str], rows: int = SLICE) -> DataFrame:
+    """Rows of another shape: ``fn`` gets an iterator of the input columns and yields lists of columns.
+
+    It gets at most ``rows`` rows at once, and no more than SLICE if they are long.
+    """
     source = df.select(*[F.col(f"`{c}`").alias(f"__in_{k}") for k, c in enumerate(inputs)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -103,8 +108,9 @@ def emit(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    yield batch.slice(at, SLICE).columns
+                step = rows if batch.nbytes * rows < SLICE_BYTES * max(batch.num_rows, 1) else min(rows, SLICE)
+                for at in range(0, batch.num_rows, step):
+                    yield batch.slice(at, step).columns
 
         for columns in fn(parts()):
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)

@@ -1,23 +1,29 @@
 """Whole-text encoding with public tokenizers, with a bounded memory of words.
 
 Texts are cut where the tokenizer's own rules always cut, so words can be encoded one by one and remembered; what isn't
-remembered goes to the tokenizers library. The results are those of encoding the whole text at once.
+remembered goes to the tokenizers library. The results are those of encoding the whole text at once. Lower-casing A to Z of ASCII texts
+first changes nothing for a tokenizer that lower-cases.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from stranda.llm import common
-
-#: White space at which byte-level tokenizers cut before it, if a text has no other white space.
-PLAIN = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces between which byte-level tokenizers always cut, if a text has no white space other than these four: a run of letters before a full
+#: stop, comma, space or line feed; or all up to the next white space.
+PLAIN = re.compile(rf"[ \n\t\r]*[{LETTERS}]+(?=[., \n])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 OTHER = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: Tokenizers that drop white space cut at it.
-DROPPED = re.compile(r"[^ \n\t\r\x0b\x0c]+")
+#: The same for Arrow.
+ODD = r"[\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Pieces that are encoded in one go.
+TOGETHER = 200
 
 
 def default_path(name: str) -> str:
@@ -29,44 +35,98 @@ def default_path(name: str) -> str:
 class Encoder:
     """Token ids of whole texts, as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, drops_space: bool, most: int = 350_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        rules = json.loads(self.tokenizer.to_str())
+        normalizer = rules.get("normalizer") or {}
+        kinds = [n["type"] for n in normalizer.get("normalizers", [normalizer]) if n]
+        self.lowers = drops_space and kinds == ["NFC", "Replace", "Lowercase"]
+        special = [t for t in rules["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
+        self.border = (special[-1]["content"], special[-1]["id"]) if special else None
         self.drops_space, self.most = drops_space, most
-        self.memory: dict[str, bytes] = {}
+        self._forget()
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that aren't remembered: some at once, with a special token between them, which the tokenizer always cuts out first."""
+        if not self.border or any(self.border[0][:2] in p for p in pieces):
+            return self._each(pieces)
+        mark, number = self.border
+        out = []
+        for e in self.tokenizer.encode_batch_fast([mark.join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)], add_special_tokens=False):
+            ids = np.array(e.ids, dtype="<u4")
+            at = 4 * np.flatnonzero(ids == number)
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)], strict=True)]
+        return out
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """Each word's place in memory; words that aren't there are encoded and added."""
+        at = pc.index_in(parts, value_set=self.words)
+        if at.null_count:
+            new = pc.unique(parts.filter(pc.is_null(at)))
+            if len(self.words) + len(new) > self.most:
+                self._forget()
+                new = pc.unique(parts)
+            self._learn(new)
+            at = pc.index_in(parts, value_set=self.words)
+        return at.to_numpy(zero_copy_only=False)
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _learn(self, new: pa.Array) -> None:
+        made = self._encode(new.to_pylist())
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) // 4)])
 
     def encode(self, text: str) -> bytes:
+        return self.encode_column(pa.array([text]))[0].tobytes()
+
+    def encode_column(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow column; null counts as empty.
+
+        Splitting texts and looking words up is left to Arrow; only words that aren't remembered come to Python.
+        """
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        column = column.take(pa.array(np.arange(len(column))))  # some string kernels are wrong on slices
         if self.drops_space:
-            words = DROPPED.findall(text)
-        elif not OTHER.search(text):
-            words = PLAIN.findall(text)
+            odd = np.zeros(len(column), bool)
+            if self.lowers:
+                column = pc.if_else(pc.string_is_ascii(column), pc.ascii_lower(column), column)
+            parts = pc.ascii_split_whitespace(column)
         else:
-            return self._encode([text])[0]
-        memory = self.memory
-        new = [w for w in set(words) if w not in memory]
-        if new:
-            if len(memory) + len(new) > self.most:
-                memory.clear()
-                new = list(set(words))
-            made = dict(zip(new, self._encode(new), strict=True))
-            if len(new) > self.most:  # a text of so many different words isn't remembered
-                return b"".join([made[w] for w in words])
-            for w, ids in made.items():
-                if len(w) <= 64:
-                    memory[w] = ids
-            long = {w: ids for w, ids in made.items() if len(w) > 64}
-            if long:
-                return b"".join([memory.get(w) if w in memory else long[w] for w in words])
-        if words and max(map(len, words)) > 64:
-            return b"".join([memory[w] if w in memory else self._encode([w])[0] for w in words])
-        return b"".join([memory[w] for w in words])
+            # A cut before a space is one that the tokenizer makes, unless another space comes before it or there is other white space.
+            odd = np.array(pc.or_(pc.match_substring(column, "  "), pc.match_substring_regex(column, ODD)))
+            parts = pc.split_pattern(pc.if_else(pa.array(odd), "", column) if odd.any() else column, " ")
+        ends = parts.offsets.to_numpy()
+        ends = ends - ends[0]
+        words = parts.flatten()
+        if not self.drops_space and len(words):
+            first = np.zeros(len(words), bool)
+            first[ends[:-1]] = True
+            words = pc.binary_join_element_wise(pc.if_else(pa.array(first), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())), words, pa.scalar("", pa.large_string()))
+        at = self._numbers(words)
+        starts = self.ends[at]
+        took = self.ends[at + 1] - starts
+        stops = np.cumsum(took)
+        ids = self.ids[np.repeat(starts - (stops - took), took) + np.arange(int(took.sum()))]
+        bounds = np.concatenate([[0], stops])[ends]
+        out = [ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.frombuffer(self._each([column[i].as_py()])[0], "<u4")
+        if len(self.words) > self.most:  # a batch of so many different words isn't remembered
+            self._forget()
+        return out
 
 
 _made: dict[tuple, Encoder] = {}
@@ -80,49 +140,42 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _made[key]
 
 
-def crc_tables(width: int) -> np.ndarray:
-    """Tables (256 x 4) that carry a CRC-32 over ``width`` zero bytes, one byte of it at a time."""
-    matrix = [1 << k for k in range(32)]
-    step = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
+def shift_tables() -> list[list[list[int]]]:
+    """For each power of two, tables (4 x 256) that carry a CRC-32 over so many zero bytes, one byte of it at a time."""
 
-    def times(a, vector):
+    def times(matrix, vector):
         out, k = 0, 0
         while vector:
             if vector & 1:
-                out ^= a[k]
+                out ^= matrix[k]
             vector >>= 1
             k += 1
         return out
 
-    bits = 8 * width
-    while bits:
-        if bits & 1:
-            matrix = [times(step, v) for v in matrix]
+    step = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
+    out = []
+    for k in range(3 + 40):
+        if k >= 3:
+            out.append([[times(step, b << 8 * i) for b in range(256)] for i in range(4)])
         step = [times(step, v) for v in step]
-        bits >>= 1
-    return np.array([[times(matrix, b << 8 * k) for b in range(256)] for k in range(4)], dtype=np.uint32)
+    return out
 
 
-class CrcJoiner:
-    """CRC-32 of a concatenation from the parts' CRCs and lengths."""
+_shifts: list = []
 
-    def __init__(self):
-        self.tables: dict[int, list] = {}
 
-    def join(self, parts: list[tuple[int, int]]) -> int:
-        """Of (crc, bytes) in order."""
-        out = 0
-        for crc, width in parts:
-            if out:
-                a, b, c, d = self.tables_for(width)
+def join_crcs(parts: list[tuple[int, int]]) -> int:
+    """CRC-32 of a concatenation from its parts' (crc, bytes), in order."""
+    if not _shifts:
+        _shifts.extend(shift_tables())
+    out = 0
+    for crc, width in parts:
+        k = 0
+        while width and out:
+            if width & 1:
+                a, b, c, d = _shifts[k]
                 out = a[out & 255] ^ b[out >> 8 & 255] ^ c[out >> 16 & 255] ^ d[out >> 24]
-            out ^= crc
-        return out
-
-    def tables_for(self, width: int):
-        tables = self.tables
-        if width not in tables:
-            if len(tables) >= 2048:
-                tables.clear()
-            tables[width] = crc_tables(width).tolist()
-        return tables[width]
+            width >>= 1
+            k += 1
+        out ^= crc
+    return out

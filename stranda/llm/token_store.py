@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stranda.llm import common, encoders
 
 END_ID = 1
-WINDOW, LEAST, MOST, MASK_BITS = 8, 64, 1024, 8
+WINDOW, LEAST, MOST, MASK_BITS = 8, 128, 2048, 9
 #: Odd multipliers of the rolling hash: powers of one number.
 POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 EMPTY_ROOT = hashlib.sha256(b"").digest()
@@ -72,7 +72,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, drop
     """Encodes documents and writes a store; its path."""
     spark = docs.sparkSession
     id_bytes = 2 if encoders.encoder(tokenizer, drops_space).tokenizer.get_vocab_size() <= 1 << 16 > end_id else 4
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     kind = f"<u{id_bytes}"
 
     def encode(parts) -> Iterator[list]:
@@ -80,8 +80,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, drop
         seen: set[bytes] = set()  # chunks that this task has sent already; a new set when it is large
         for ids, column in parts:
             out = [ids, [], [], []]
-            for t in common.texts(column):
-                tokens = np.frombuffer(coder.encode(t) + end, "<u4")
+            for found in coder.encode_column(column):
+                tokens = np.append(found, end)
                 digests, payloads, start = [], [], 0
                 data = tokens.astype(kind).tobytes()
                 for cut in cuts(tokens):
@@ -99,11 +99,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, drop
             yield out
 
     kind_of_id = docs.schema[doc_id].dataType.simpleString()
-    staged = common.emit(docs, f"doc_id {kind_of_id}, n_tokens bigint, digests array<binary>, payloads array<binary>", encode, [doc_id, text])
+    staged = common.emit(docs, f"doc_id {kind_of_id}, n_tokens bigint, digests array<binary>, payloads array<binary>", encode, [doc_id, text], rows=4096)
     staged = common.save(staged.withColumn("uid", F.monotonically_increasing_id()), "encoded")
 
     sent = staged.select(F.explode(F.arrays_zip("digests", "payloads")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.payloads").alias("payload")).filter("payload is not null")
-    sent.groupBy("digest").agg(F.first("payload").alias("payload")).select("digest", (F.length("payload") / id_bytes).cast("long").alias("n_ids"), "payload").write.parquet(f"{path}/chunks")
+    sent.groupBy("digest").agg(F.first("payload").alias("payload")).select("digest", (F.length("payload") / id_bytes).cast("long").alias("n_ids"), "payload").write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     def rooted(state, column):
         return [[merkle(d) for d in column.to_pylist()]]
@@ -151,8 +151,10 @@ class TokenStore:
         """Documents with their chunks' values, in order: the links to chunks are joined by digest, skewed digests are split by AQE."""
         links = self.documents().select("part", "seq", "doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
         found = links.join(value, "digest", "left")
-        whole = found.groupBy("part", "seq", "doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", *[c for c in value.columns if c != "digest"]))).alias("chunks"))
-        return whole
+        fields = ["digest", *[c for c in value.columns if c != "digest"]]
+        whole = found.groupBy("part", "seq", "doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("chunks"))
+        each = [F.col(f"chunks.{f}").alias("digests" if f == "digest" else f) for f in fields]
+        return whole.select("doc_id", "start", "n_tokens", "root", *each)
 
     def digests(self) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32): each stored chunk is read and checked once, and its CRC joined to those of its document."""
@@ -166,37 +168,37 @@ class TokenStore:
         values = common.emit(self.chunks, "digest binary, n_ids bigint, crc bigint", summed, ["digest", "n_ids", "payload"])
 
         def joined(parts):
-            joiner = encoders.CrcJoiner()
-            for ids, starts, sizes, roots, chunks in parts:
+            for ids, starts, sizes, roots, digests, lengths, crcs in parts:
                 out = []
-                for size, root, found in zip(sizes.to_pylist(), roots.to_pylist(), chunks.to_pylist(), strict=True):
-                    check_document(size, root, found)
-                    out.append(joiner.join([(c["crc"], 4 * c["n_ids"]) for c in found]))
+                for row in zip(sizes.to_pylist(), roots.to_pylist(), digests.to_pylist(), lengths.to_pylist(), crcs.to_pylist(), strict=True):
+                    check_document(*row[:4])
+                    out.append(encoders.join_crcs([(c, 4 * n) for c, n in zip(row[4], row[3], strict=True)]))
                 yield [ids, starts, sizes, out]
 
         kind = self.recipes.schema["doc_id"].dataType.simpleString()
-        return common.emit(self._gathered(values), f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint", joined, ["doc_id", "start", "n_tokens", "root", "chunks"])
+        whole = self._gathered(values)
+        return common.emit(whole, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint", joined, ["doc_id", "start", "n_tokens", "root", "digests", "n_ids", "crc"])
 
     def ids(self) -> DataFrame:
         """(doc_id, start, ids): the documents' whole id streams, put together from the chunks and checked."""
         width = self.id_bytes
 
         def joined(parts):
-            for ids, starts, sizes, roots, chunks in parts:
+            for ids, starts, sizes, roots, digests, lengths, payloads in parts:
                 out = []
-                for size, root, found in zip(sizes.to_pylist(), roots.to_pylist(), chunks.to_pylist(), strict=True):
-                    check_document(size, root, found)
-                    out.append(np.concatenate([payload_ids(c["digest"], c["payload"], c["n_ids"], width) for c in found]).astype(np.int64))
+                for row in zip(sizes.to_pylist(), roots.to_pylist(), digests.to_pylist(), lengths.to_pylist(), payloads.to_pylist(), strict=True):
+                    check_document(*row[:4])
+                    out.append(np.concatenate([payload_ids(d, p, n, width) for d, n, p in zip(*row[2:], strict=True)]).astype(np.int64))
                 yield [ids, starts, out]
 
         kind = self.recipes.schema["doc_id"].dataType.simpleString()
-        return common.emit(self._gathered(self.chunks), f"doc_id {kind}, start bigint, ids array<bigint>", joined, ["doc_id", "start", "n_tokens", "root", "chunks"])
+        return common.emit(self._gathered(self.chunks), f"doc_id {kind}, start bigint, ids array<bigint>", joined, ["doc_id", "start", "n_tokens", "root", "digests", "n_ids", "payload"])
 
 
-def check_document(n_tokens: int, root: bytes, chunks: list[dict]) -> None:
-    if any(c["n_ids"] is None for c in chunks):
+def check_document(n_tokens: int, root: bytes, digests: list[bytes], sizes: list[int]) -> None:
+    if None in sizes:
         raise ValueError("a chunk is missing")
-    if merkle([c["digest"] for c in chunks]) != root or sum(c["n_ids"] for c in chunks) != n_tokens:
+    if merkle(digests) != root or sum(sizes) != n_tokens:
         raise ValueError("a document differs from its recipe")
 
 

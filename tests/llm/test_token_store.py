@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -76,12 +77,21 @@ def test_encoder_is_exact_with_little_memory():
     for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
         t = Tokenizer.from_file(encoders.default_path(name))
         small = encoders.Encoder(encoders.default_path(name), drops, most=5)
-        for text in [*texts(), "a 　 b", "end  ", "\n\n x\t\ty \r\n", "a\x0bb\x0c c"]:
+        for text in [*texts(), "a 　 b", "end  ", "\n\n x\t\ty \r\n", "a\x0bb\x0c c", "Ḧ h̤ H̱ K Å A\u030a", "it's IT'S x'tea,foo.bar ...", "Été, ÀÉ. Straße,"]:
             text = text or ""
             assert np.frombuffer(small.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_takes_slices_and_nulls():
+    column = pa.array(["Çà et là", None, "", "Übung, SCHÖN", "plain Words here"] * 4, pa.string())
+    t = Tokenizer.from_file(PATH)
+    coder = encoders.Encoder(PATH, True)
+    for at in (0, 3, 11):
+        got = [x.tolist() for x in coder.encode_column(column.slice(at, 7))]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in column.slice(at, 7).to_pylist()]
+
+
 def test_crcs_join():
-    joiner, rng = encoders.CrcJoiner(), random.Random(1)
+    rng = random.Random(1)
     parts = [rng.randbytes(rng.choice([0, 4, 400])) for _ in range(50)]
-    assert joiner.join([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+    assert encoders.join_crcs([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
