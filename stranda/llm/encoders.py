@@ -81,13 +81,13 @@ class Encoder:
 
     def _forget(self) -> None:
         self.words = pa.array([], pa.large_string())
-        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int32)
 
     def _learn(self, new: pa.Array) -> None:
         made = self._encode(new.to_pylist())
         self.words = pa.concat_arrays([self.words, new])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) // 4)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) // 4)]).astype(np.int32)
 
     def encode(self, text: str) -> bytes:
         return self.encode_column(pa.array([text]))[0].tobytes()
@@ -118,8 +118,10 @@ class Encoder:
         at = self._numbers(words)
         starts = self.ends[at]
         took = self.ends[at + 1] - starts
-        stops = np.cumsum(took)
-        ids = self.ids[np.repeat(starts - (stops - took), took) + np.arange(int(took.sum()))]
+        stops = np.cumsum(took, dtype=np.int32)
+        place = np.repeat(starts - (stops - took), took)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.ids[place]
         bounds = np.concatenate([[0], stops])[ends]
         out = [ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for i in np.flatnonzero(odd).tolist():

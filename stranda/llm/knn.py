@@ -38,7 +38,7 @@ def vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
 
 def stack(column, width: int) -> np.ndarray:
     """An Arrow list column of equally long vectors as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), width)
 
 
 def by_width(column):
@@ -116,7 +116,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     n = rows.count()
     most = int(min(max(n // PER_PIVOT, PIVOTS[0]), PIVOTS[1]))
     chosen = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(most).toArrow()["v"].combine_chunks()
-    pivots = {w: np.unique(stack(chosen.take(at), w), axis=0) for w, at in by_width(chosen)}
+    pivots = {w: np.unique(stack(chosen.take(at), w), axis=0) for w, at in by_width(chosen) if w}
     widths = [r.w for r in rows.select(F.size("v").alias("w")).distinct().collect() if r.w not in pivots]
     pivots |= {w: np.zeros((1, w), np.int64) for w in widths}  # lengths that the sample missed: one group each
     first = spark.sparkContext.broadcast(pivots)

@@ -31,8 +31,8 @@ LISTED = [f"http://{site}.example.{end}/" for site in ("spam-farm", "cheap-pills
 FILTER_BYTES = 64 << 20
 BITS_PER_KEY = 12
 WORDS = 8
-#: Odd multipliers, one for each word of a block.
-SALTS = np.array([(0x9E3779B1 * (2 * k + 1)) & 0xFFFFFFFF for k in range(WORDS)], dtype=np.uint64)
+#: Odd multipliers, one for each word of a block: powers of one number.
+SALTS = np.array([pow(0x9E3779B1, k + 1, 1 << 32) for k in range(WORDS)], dtype=np.uint64)
 
 
 def lower_ascii(column):
