@@ -11,6 +11,7 @@ from stranda import schema as S
 from stranda.functions import bases, cigar, coords, flags, qualities, text, variants
 from stranda.operators import genotypes, histogram, intervals, joins, pileup, reads, validation
 from stranda.plans.derived import cte, sequences, spanned, view
+from stranda.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -639,3 +640,11 @@ def header_union(spark, d):
 def index_stats(spark, d):
     unmapped = flags.has(F.col("flag"), S.UNMAPPED)
     return view(spark, d, "reads").groupBy("contig").agg(F.count(F.when(~unmapped, 1)).alias("aligned"), F.count(F.when(unmapped, 1)).alias("unaligned"))
+
+
+# Streams.
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def windowed_events_stream(spark, d):
+    return streams.windowed_events_stream(spark, d)
