@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUNNING = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # one row for each bin: histograms are small
+def running() -> Window:
+    """Over bins in order, in one task: a histogram has one row for each bin, so it is small."""
+    return Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def build(df: DataFrame, value: Column, weight: Column | None = None) -> DataFrame:
@@ -41,7 +43,7 @@ def moments(hist: DataFrame) -> DataFrame:
 
 def _cumulated(hist: DataFrame) -> DataFrame:
     total = F.sum("count").over(Window.partitionBy())
-    return hist.withColumns({"__cum": F.sum("count").over(RUNNING), "__total": total})
+    return hist.withColumns({"__cum": F.sum("count").over(running()), "__total": total})
 
 
 def median(hist: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def trim_tail(hist: DataFrame, limit: float) -> DataFrame:
     top = F.broadcast(mode(hist))
     marked = hist.crossJoin(top).withColumn("__prev", F.lag("bin").over(Window.orderBy("bin")))
     bad = (F.col("bin") > F.col("mode")) & ((F.col("bin") != F.col("__prev") + 1) | (F.col("count") < F.col("mode_count") / limit))
-    return marked.withColumn("__bad", F.sum(bad.cast("int")).over(RUNNING)).filter("__bad = 0").select("bin", "count")
+    return marked.withColumn("__bad", F.sum(bad.cast("int")).over(running())).filter("__bad = 0").select("bin", "count")
 
 
 def trim_width(hist: DataFrame, width: float) -> DataFrame:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from stranda.operators import joins, tiles
 
-ORDER = ["start", "end", F.col("negative").asc(), F.col("name").asc_nulls_first()]
 COLUMNS = ["contig", "start", "end", "negative", "name"]
 
 
+def order() -> list:
+    return ["start", "end", F.col("negative").asc(), F.col("name").asc_nulls_first()]
+
+
 def full(df: DataFrame) -> DataFrame:
     """With all columns of an interval; a missing strand is positive, a missing name null."""
     have = set(df.columns)
@@ -26,9 +29,9 @@ def full(df: DataFrame) -> DataFrame:
 def islands(df: DataFrame, abutting: bool = True) -> DataFrame:
     """Appends ``island``: equal, within a contig, for intervals that overlap, or also abut, directly or through others."""
     tiled = tiles.with_tile(df)
-    running = tiles.carried(tiled, F.col("end"), ORDER, "max", "__max")
+    running = tiles.carried(tiled, F.col("end"), order(), "max", "__max")
     opens = (F.col("__max").isNull() | (F.col("start") > F.col("__max") + (1 if abutting else 0))).cast("int")
-    return tiles.carried(running.withColumn("__open", opens), F.col("__open"), ORDER, "sum", "island", inclusive=True).drop("__max", "__open", "__tile")
+    return tiles.carried(running.withColumn("__open", opens), F.col("__open"), order(), "sum", "island", inclusive=True).drop("__max", "__open", "__tile")
 
 
 def merge(df: DataFrame, abutting: bool = True, join_names: bool = True, same_strand: bool = False) -> DataFrame:
@@ -151,7 +154,7 @@ def unique_base_count(df: DataFrame) -> DataFrame:
 
 def disordered(df: DataFrame) -> DataFrame:
     """Intervals that overlap an earlier one: none, if a list is free of overlaps."""
-    running = tiles.carried(tiles.with_tile(full(df)), F.col("end"), ORDER, "max", "__max")
+    running = tiles.carried(tiles.with_tile(full(df)), F.col("end"), order(), "max", "__max")
     return running.filter(F.col("start") <= F.col("__max")).select(*COLUMNS)
 
 

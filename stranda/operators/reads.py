@@ -12,9 +12,6 @@ from stranda.functions import cigar as C
 from stranda.functions import flags
 from stranda.operators import joins
 
-FLAG = F.col
-
-
 # Filters: each gives a Column that is true for a read to drop.
 
 

@@ -14,7 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(window_start, event_type, n, total) of a stream or table of (ts, event_type, value)."""
-    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = timed.withWatermark("ts", late) if events.isStreaming else timed
     return kept.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
@@ -31,7 +32,7 @@ def windowed_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     # A file source wants a folder or a pattern; this one is just the events.
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(path.replace("events.parquet", "events*parquet"))
-    return run_to_end(windowed_counts(stream)).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+    return run_to_end(windowed_counts(stream)).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def reordered(records: DataFrame, look_back: int, columns: str) -> DataFrame:
