@@ -23,6 +23,8 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,10 @@ LONGEST = 48
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+#: A merge's rank and the id that it makes as one number.
+NONE, LOW = 1 << 62, (1 << 24) - 1
+
+
 def byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write each byte as a letter: printable Latin-1 as itself, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,19 +67,26 @@ class Merges:
         for k, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank.setdefault((vocab[a], vocab[b]), (k, vocab[a + b]))
+        self.joined = {pair: k << 24 | made for pair, (k, made) in self.rank.items()}
 
     def merge(self, word: bytes) -> list[int]:
         """A pre-token's ids."""
         ids = [self.of_byte[b] for b in word]
         if len(ids) > 64:
             return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best = min((rank[p] + (i,) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rank), default=None)
-            if best is None:
+        get = self.joined.get
+        found = [get(p, NONE) for p in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == NONE:
                 break
-            _, made, at = best
-            ids[at : at + 2] = [made]
+            i = found.index(best)
+            ids[i : i + 2] = [best & LOW]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), NONE)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -179,17 +192,36 @@ class Lexicon:
         return self.id[self.offset[place] : self.offset[place + 1]].tolist()
 
 
-class Coder:
-    """Encodes and decodes, with a bounded memory of words (white space and what follows)."""
+class Coder(encoders.Vocabulary):
+    """Encodes and decodes, with a bounded memory of words (each with the space before it and all up to the next)."""
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 250_000):
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 1_500_000):
         self.merges, self.lexicon = merges, lexicon
-        self.memory = common.Memo(self._unit, most)
+        self.found: dict[str, list[int]] = {}  # no more than the lexicon holds
+        super().__init__(most)
+
+    def forget(self) -> None:
+        super().forget()
+        self.texts, self.bytes, self.counts = pa.array([], pa.large_binary()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+
+    def learn(self, new: pa.Array) -> None:
+        """Remembers what words encode to, as text with a comma after each id, and the bytes that these ids decode to."""
+        token = self.merges.token
+        made = [self.parts(w) for w in new.to_pylist()]
+        super().learn(new)
+        self.texts = pa.concat_arrays([self.texts, pa.array(["".join([f"{i}," for i in ids]).encode() for ids in made], pa.large_binary())])
+        self.bytes = pa.concat_arrays([self.bytes, pa.array([b"".join([token[i] for i in ids]) for ids in made], pa.large_binary())])
+        self.counts = np.concatenate([self.counts, np.fromiter(map(len, made), np.int64, len(made))])
 
     def pre_token(self, word: str) -> list[int]:
+        if word in self.found:
+            return self.found[word]
         data = word.encode()
-        found = self.lexicon.ids(data) if self.lexicon and len(data) <= LONGEST else None
-        return self.merges.merge(data) if found is None else found
+        ids = self.lexicon.ids(data) if self.lexicon and len(data) <= LONGEST else None
+        if ids is None:
+            return self.merges.merge(data)
+        self.found[word] = ids
+        return ids
 
     def parts(self, text: str) -> list[int]:
         out: list[int] = []
@@ -201,22 +233,56 @@ class Coder:
                     out += self.pre_token(word)
         return out
 
-    def _unit(self, text: str) -> tuple[bytes, int, bytes]:
-        ids = self.parts(text)
-        return ",".join(map(str, ids)).encode(), len(ids), b"".join(map(self.merges.token.__getitem__, ids))
-
-    def units(self, text: str) -> list[tuple[bytes, int, bytes]]:
-        if encoders.OTHER.search(text):
-            return [self._unit(text)]
-        memory = self.memory
-        return [memory[u] for u in encoders.PLAIN.findall(text)]
-
     def ids(self, text: str) -> list[int]:
         return self.parts(text)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.merges.token.__getitem__, ids)).decode("utf-8", "replace")
 
+    def digests(self, column: pa.Array) -> list[list]:
+        """For each text: how many ids, the SHA-256 of the ids joined by commas, and that of the text decoded from them."""
+        column = encoders.whole(column)
+        words, ends, odd = encoders.split_keeping(column)
+        at = self.numbers(words)
+        counts = np.concatenate([[0], np.cumsum(self.counts[at])])[ends]
+        numbers = pa.array(at)
+        texts, ends1 = joined(self.texts.take(numbers), ends)
+        data, ends2 = joined(self.bytes.take(numbers), ends)
+        out: list[list] = [np.diff(counts).tolist(), [], []]
+        for i in range(len(column)):
+            if odd[i]:
+                ids = self.parts(column[i].as_py())
+                out[0][i] = len(ids)
+                text, decoded = ",".join(map(str, ids)).encode(), self.decode(ids)
+            else:
+                text = texts[ends1[i] : max(ends1[i], ends1[i + 1] - 1)]
+                decoded = bytes(data[ends2[i] : ends2[i + 1]]).decode("utf-8", "replace")
+            out[1].append(hashlib.sha256(text).hexdigest())
+            out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
+        if len(self.words) > self.most:  # a batch of so many different words isn't remembered
+            self.forget()
+        return out
+
+
+def joined(parts: pa.Array, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+    """The bytes of all parts one after the other, and where those of each text end."""
+    offsets = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    return memoryview(parts.buffers()[2] or b""), offsets[ends].tolist()
+
+
+class Counts(encoders.Vocabulary):
+    """How often each word was seen."""
+
+    def forget(self) -> None:
+        super().forget()
+        self.n = np.zeros(0, np.int64)
+
+    def add(self, words: pa.Array) -> None:
+        at = self.numbers(words)
+        seen = np.bincount(at, minlength=len(self.words))
+        seen[: len(self.n)] += self.n
+        self.n = seen
+
 
 def count_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts, for words that can be in a lexicon; summed within a task before it is sent.
@@ -224,25 +290,28 @@ def count_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     The counts only decide what the lexicon holds, never what a text encodes to.
     """
 
-    def tally(units: Counter) -> list:
+    def tally(seen: Counts) -> list:
         words: Counter = Counter()
-        for unit, n in units.items():
+        for unit, n in zip(seen.words.to_pylist(), seen.n.tolist(), strict=True):
             for word in PRE_TOKEN.findall(unit):
                 if len(word) <= LONGEST:
                     words[word] += n
-        units.clear()
+        seen.forget()
         return [list(words), list(words.values())]
 
     def run(parts) -> Iterator[list]:
-        units: Counter = Counter()
+        seen = Counts(1 << 62)
         for (column,) in parts:
-            for t in common.texts(column):
-                units.update(encoders.PLAIN.findall(t))
-            if len(units) > 200_000:
-                yield tally(units)
-        yield tally(units)
+            column = encoders.whole(column)
+            words, _, odd = encoders.split_keeping(column)
+            seen.add(words)
+            if odd.any():
+                seen.add(encoders.split_dropping(column.filter(pa.array(odd)))[0])
+            if len(seen.words) > 400_000:
+                yield tally(seen)
+        yield tally(seen)
 
-    return common.emit(docs, "word string, n bigint", run, [text]).groupBy("word").agg(F.sum("n").alias("n"))
+    return common.emit(docs, "word string, n bigint", run, [text], rows=4096).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text: str = "text") -> str:
@@ -272,19 +341,8 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", keep: list[str] | None
 def digests(docs: DataFrame, path: str, lexicon: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows with n_tokens and the SHA-256 of the ids and of the text decoded from them appended."""
 
-    def run(coder, column):
-        out = [[], [], []]
-        for t in common.texts(column):
-            units = coder.units(t)
-            ids = b",".join([u[0] for u in units])
-            decoded = b"".join([u[2] for u in units]).decode("utf-8", "replace")
-            out[0].append(sum(u[1] for u in units))
-            out[1].append(hashlib.sha256(ids).hexdigest())
-            out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-        return out
-
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return common.add_columns(docs, fields, run, [text], coder_for(path, lexicon), keep)
+    return common.add_columns(docs, fields, lambda coder, column: coder.digests(column), [text], coder_for(path, lexicon), keep, rows=4096)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,10 +67,10 @@ def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     return unique
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., list], inputs: list[str], setup: Callable[[], object] | None = None, keep: list[str] | None = None) -> DataFrame:
+def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., list], inputs: list[str], setup: Callable[[], object] | None = None, keep: list[str] | None = None, rows: int = SLICE) -> DataFrame:
     """Appends computed columns to rows without moving them.
 
-    ``fn(state, *columns)`` gets Arrow arrays of at most SLICE rows and returns one list or Arrow array per field. ``setup()``
+    ``fn(state, *columns)`` gets Arrow arrays of at most ``rows`` rows (SLICE, if they are long) and returns one list or Arrow array per field. ``setup()``
     makes the state once per task. ``keep``: the columns that go on (all, if None); a new column replaces an old one of its name.
     """
     names = {f.name for f in fields}
@@ -85,8 +85,9 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            step = rows if batch.nbytes * rows < SLICE_BYTES * max(batch.num_rows, 1) else min(rows, SLICE)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 made = fn(state, *(part.column(n + k) for k in range(m)))
                 columns = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *columns], schema=pa.schema([*list(part.schema)[:n], *added]))
@@ -126,28 +127,3 @@ def texts(column: pa.Array) -> list[str]:
 def utf8(column: pa.Array) -> list[bytes]:
     """Whole texts as UTF-8; null counts as empty."""
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
-
-
-class Memo(dict):
-    """Remembers what a function gave for a word; starts anew when it holds ``most`` words, so its memory is bounded.
-
-    Words of over ``longest`` characters aren't kept.
-    """
-
-    def __init__(self, fn: Callable[[str], object], most: int = 400_000, longest: int = 64):
-        super().__init__()
-        self.fn, self.most, self.longest = fn, most, longest
-
-    def __missing__(self, word):
-        out = self.fn(word)
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = out
-        return out
-
-
-def remove(path: str) -> None:
-    """Deletes a local scratch file; absent ones don't matter."""
-    if os.path.exists(path):
-        os.remove(path)

@@ -9,18 +9,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Pieces between which byte-level tokenizers always cut, if a text has no white space other than these four: a run of letters before a full
-#: stop, comma, space or line feed; or all up to the next white space.
-PLAIN = re.compile(rf"[ \n\t\r]*[{LETTERS}]+(?=[., \n])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-OTHER = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: The same for Arrow.
+#: White space other than space, tab and line ends.
 ODD = r"[\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Pieces that are encoded in one go.
 TOGETHER = 200
@@ -32,7 +26,60 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
+def whole(column: pa.Array) -> pa.Array:
+    """A text column as large strings of its own, nulls empty: some string kernels are wrong on slices."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    return column.take(pa.array(np.arange(len(column))))
+
+
+def split_dropping(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, and where each text's words end (after a leading 0), for tokenizers that drop white space."""
+    parts = pc.ascii_split_whitespace(column)
+    ends = parts.offsets.to_numpy()
+    return parts.flatten(), ends - ends[0]
+
+
+def split_keeping(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The same with each word's leading space, for byte-level tokenizers; and which texts must be taken as a whole instead.
+
+    A cut before a space is one that the tokenizer makes, unless another space comes before it or there is other white space; so
+    is one before a full stop or comma in texts where letters or digits stand before all of them.
+    """
+    odd = pc.or_(pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, "\0")), pc.match_substring_regex(column, ODD))
+    marked = pc.replace_substring(pc.if_else(odd, pa.scalar("", pa.large_string()), column), " ", "\0 ")
+    stops = pc.match_substring_regex(column, r"(^|[^\pL\pN])[.,]")
+    split = pc.replace_substring(pc.replace_substring(marked, ",", "\0,"), ".", "\0.")
+    parts = pc.split_pattern(pc.if_else(stops, marked, split), "\0")
+    ends = parts.offsets.to_numpy()
+    return parts.flatten(), ends - ends[0], np.array(odd, dtype=bool)
+
+
+class Vocabulary:
+    """Words by number; it starts anew when it would hold more than ``most``. ``learn`` and ``forget`` keep what goes with the words."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+
+    def learn(self, new: pa.Array) -> None:
+        self.words = pa.concat_arrays([self.words, new])
+
+    def numbers(self, parts: pa.Array) -> np.ndarray:
+        at = pc.index_in(parts, value_set=self.words)
+        if at.null_count:
+            new = pc.unique(parts.filter(pc.is_null(at)))
+            if len(self.words) + len(new) > self.most:
+                self.forget()
+                new = pc.unique(parts)
+            self.learn(new)
+            at = pc.index_in(parts, value_set=self.words)
+        return at.to_numpy(zero_copy_only=False)
+
+
+class Encoder(Vocabulary):
     """Token ids of whole texts, as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, drops_space: bool, most: int = 1_500_000):
@@ -48,8 +95,8 @@ class Encoder:
         self.lowers = drops_space and kinds == ["NFC", "Replace", "Lowercase"]
         special = [t for t in rules["added_tokens"] if t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
         self.border = (special[-1]["content"], special[-1]["id"]) if special else None
-        self.drops_space, self.most = drops_space, most
-        self._forget()
+        self.drops_space = drops_space
+        super().__init__(most)
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -60,32 +107,23 @@ class Encoder:
             return self._each(pieces)
         mark, number = self.border
         out = []
-        for e in self.tokenizer.encode_batch_fast([mark.join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)], add_special_tokens=False):
-            ids = np.array(e.ids, dtype="<u4")
-            at = 4 * np.flatnonzero(ids == number)
-            data = ids.tobytes()
-            out += [data[i:j] for i, j in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)], strict=True)]
+        # Few at once: the library's encodings take far more memory than their ids.
+        for i in range(0, len(pieces), 50 * TOGETHER):
+            some = [mark.join(pieces[j : j + TOGETHER]) for j in range(i, min(i + 50 * TOGETHER, len(pieces)), TOGETHER)]
+            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                ids = np.array(e.ids, dtype="<u4")
+                at = 4 * np.flatnonzero(ids == number)
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)], strict=True)]
         return out
 
-    def _numbers(self, parts: pa.Array) -> np.ndarray:
-        """Each word's place in memory; words that aren't there are encoded and added."""
-        at = pc.index_in(parts, value_set=self.words)
-        if at.null_count:
-            new = pc.unique(parts.filter(pc.is_null(at)))
-            if len(self.words) + len(new) > self.most:
-                self._forget()
-                new = pc.unique(parts)
-            self._learn(new)
-            at = pc.index_in(parts, value_set=self.words)
-        return at.to_numpy(zero_copy_only=False)
-
-    def _forget(self) -> None:
-        self.words = pa.array([], pa.large_string())
+    def forget(self) -> None:
+        super().forget()
         self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int32)
 
-    def _learn(self, new: pa.Array) -> None:
+    def learn(self, new: pa.Array) -> None:
         made = self._encode(new.to_pylist())
-        self.words = pa.concat_arrays([self.words, new])
+        super().learn(new)
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) // 4)]).astype(np.int32)
 
@@ -97,25 +135,15 @@ class Encoder:
 
         Splitting texts and looking words up is left to Arrow; only words that aren't remembered come to Python.
         """
-        column = pc.fill_null(column.cast(pa.large_string()), "")
-        column = column.take(pa.array(np.arange(len(column))))  # some string kernels are wrong on slices
+        column = whole(column)
         if self.drops_space:
             odd = np.zeros(len(column), bool)
             if self.lowers:
                 column = pc.if_else(pc.string_is_ascii(column), pc.ascii_lower(column), column)
-            parts = pc.ascii_split_whitespace(column)
+            words, ends = split_dropping(column)
         else:
-            # A cut before a space is one that the tokenizer makes, unless another space comes before it or there is other white space.
-            odd = np.array(pc.or_(pc.match_substring(column, "  "), pc.match_substring_regex(column, ODD)))
-            parts = pc.split_pattern(pc.if_else(pa.array(odd), "", column) if odd.any() else column, " ")
-        ends = parts.offsets.to_numpy()
-        ends = ends - ends[0]
-        words = parts.flatten()
-        if not self.drops_space and len(words):
-            first = np.zeros(len(words), bool)
-            first[ends[:-1]] = True
-            words = pc.binary_join_element_wise(pc.if_else(pa.array(first), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())), words, pa.scalar("", pa.large_string()))
-        at = self._numbers(words)
+            words, ends, odd = split_keeping(column)
+        at = self.numbers(words)
         starts = self.ends[at]
         took = self.ends[at + 1] - starts
         stops = np.cumsum(took, dtype=np.int32)
@@ -127,7 +155,7 @@ class Encoder:
         for i in np.flatnonzero(odd).tolist():
             out[i] = np.frombuffer(self._each([column[i].as_py()])[0], "<u4")
         if len(self.words) > self.most:  # a batch of so many different words isn't remembered
-            self._forget()
+            self.forget()
         return out
 
 

@@ -375,7 +375,7 @@ def kept(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     bands = model.bands
 
     columns = docs.columns
-    rows = model.scored(docs.select(*columns, F.col(lang).alias("__lang"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")), text, "__lang", keep=["__row", "__lang"])
+    rows = model.scored(docs.select(*[F.col(f"`{c}`") for c in columns], F.col(lang).alias("__lang"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")), text, "__lang", keep=["__row", "__lang"])
     low = F.create_map(*[x for c, b in bands.items() for x in (F.lit(c), F.lit(b[0]))]) if bands else None
     high = F.create_map(*[x for c, b in bands.items() for x in (F.lit(c), F.lit(b[1]))]) if bands else None
     if not bands:

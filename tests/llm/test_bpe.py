@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from stranda.llm import bpe as B
@@ -60,4 +61,4 @@ def test_no_rows_and_little_memory(spark):
     coder = B.Coder(B.Merges(PATH), None, most=3)
     for t in texts():
         assert coder.decode(coder.ids(t or "")) == (t or "")
-        assert sum(u[1] for u in coder.units(t or "")) == len(coder.ids(t or ""))
+        assert coder.digests(pa.array([t]))[0] == [len(coder.ids(t or ""))]
