@@ -648,3 +648,109 @@ def index_stats(spark, d):
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_events_stream(spark, d):
     return streams.windowed_events_stream(spark, d)
+
+
+# Scalars over rows.
+
+
+@query(cte("reads") + " SELECT CASE WHEN flag & 16 <> 0 THEN 100 - start % 100 + 1 ELSE start % 100 END AS cycle, count(*) AS n FROM reads GROUP BY 1")
+def sequencing_cycle(spark, d):
+    cycle = coords.cycle(flags.has(F.col("flag"), S.REVERSE), F.lit(100), F.col("start") % 100)
+    return view(spark, d, "reads").groupBy(cycle.alias("cycle")).agg(F.count("*").alias("n"))
+
+
+@query(cte("iv_a", "iv_b") + """ SELECT a.name AS a, b.name AS b FROM iv_a a JOIN iv_b b ON a.contig = b.contig AND (a.start = b."end" + 1 OR a."end" = b.start - 1)""")
+def iv_abuts(spark, d):
+    near = joins.overlap_join(view(spark, d, "iv_a"), view(spark, d, "iv_b"), left_buffer=-1)
+    touch = coords.abuts(F.col("a.contig"), F.col("a.start"), F.col("a.end"), F.col("b.contig"), F.col("b.start"), F.col("b.end"))
+    return near.filter(touch).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+
+
+@query(cte("iv_a", "iv_b") + """ SELECT a.contig, count(*) AS n FROM iv_a a JOIN iv_b b ON a.contig = b.contig AND a.start <= b."end" + 20 AND a."end" >= b.start - 20 GROUP BY a.contig""")
+def iv_within_distance(spark, d):
+    pairs = joins.overlap_join(view(spark, d, "iv_a").select("contig", "start", "end"), view(spark, d, "iv_b").select("contig", "start", "end"), right_buffer=-20)
+    return pairs.groupBy("a.contig").agg(F.count("*").alias("n"))
+
+
+@query(cte("reads") + " SELECT CASE WHEN start + 40 < 3000 THEN 'BEFORE' WHEN start > 6000 THEN 'AFTER' WHEN start >= 3000 AND start + 40 <= 6000 THEN 'CONTAINED' ELSE 'OVERLAPPING' END AS state, count(*) AS n FROM reads GROUP BY 1")
+def interval_state(spark, d):
+    from stranda.functions import records
+
+    state = records.compare_to_interval(F.col("start"), F.col("start") + 40, F.lit(3000), F.lit(6000))
+    return view(spark, d, "reads").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT q, CAST(floor(10 * log10(1 + pow(10, q / 10.0)) + 0.5) AS INTEGER) AS phred FROM range(-5, 41) t(q)")
+def solexa_to_phred(spark, d):
+    return spark.range(-5, 41).select(F.col("id").alias("q"), qualities.solexa_to_phred(F.col("id")).alias("phred"))
+
+
+@query("SELECT CAST(floor(-10 * log10(1.0 / (p_size + 1)) + 0.5) AS INTEGER) AS phred, count(*) AS n FROM part GROUP BY 1")
+def phred_of_counts(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return part.groupBy(qualities.phred_of_counts(F.lit(1.0), F.col("p_size") + 1).alias("phred")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, round(list_sum(list_transform(string_split(c_name, ''), lambda c: pow(10, -(ascii(c) - 33) / 10.0))), 9) AS errors FROM customer")
+def expected_errors(spark, d):
+    return view(spark, d, "names").select("c_custkey", F.round(qualities.expected_errors(qualities.phreds(F.col("name"))), 9).alias("errors"))
+
+
+@query()
+def quality_trim_point(spark, d):
+    return view(spark, d, "names").select("c_custkey", qualities.trim_point(qualities.phreds(F.col("name")), 25).alias("keep"))
+
+
+@query(cte("genotypes") + " SELECT concat(CASE WHEN a1 < 0 THEN '.' ELSE CAST(a1 AS VARCHAR) END, CASE WHEN dp % 2 = 0 THEN '|' ELSE '/' END, CASE WHEN a2 < 0 THEN '.' ELSE CAST(a2 AS VARCHAR) END) AS gt, count(*) AS n FROM genotypes GROUP BY 1")
+def gt_text(spark, d):
+    shown = variants.gt_text(F.col("gt"), F.col("dp") % 2 == 0)
+    return view(spark, d, "genotypes").groupBy(shown.alias("gt")).agg(F.count("*").alias("n"))
+
+
+@query(cte("genotypes") + """, a AS (SELECT site, unnest([a1, a2]) AS a FROM genotypes) SELECT site, 1 AS allele, count(*) AS ac FROM a WHERE a = 1 GROUP BY site""")
+def top_alternate(spark, d):
+    return genotypes.top_alternate(view(spark, d, "genotypes"), "site")
+
+
+@query(cte("genotypes") + " SELECT site, 2 AS ploidy FROM genotypes GROUP BY site")
+def max_ploidy(spark, d):
+    return genotypes.max_ploidy(view(spark, d, "genotypes"), "site")
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS g FROM embeddings WHERE len(embedding) >= 3) SELECT vec_id, array_to_string(list_transform(g, lambda x: CAST(CAST(floor(-10 * (x - list_max(g)) + 0.5) AS INTEGER) AS VARCHAR)), ',') AS pls FROM e")
+def gls_to_pls(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").filter("size(embedding) >= 3").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("g"))
+    return rows.select("vec_id", F.array_join(F.transform(variants.gls_to_pls(F.col("g")), lambda x: x.cast("string")), ",").alias("pls"))
+
+
+@query(cte("variants") + " SELECT CASE WHEN site % 3 = 0 THEN 'UNFILTERED' WHEN site % 3 = 1 THEN 'PASS' ELSE 'FILTERED' END AS status, count(*) AS n FROM variants GROUP BY 1")
+def filter_status(spark, d):
+    some = F.when(F.col("site") % 3 == 1, F.array().cast("array<string>")).when(F.col("site") % 3 == 2, F.array(F.lit("q10")))
+    return view(spark, d, "variants").groupBy(variants.filter_status(some).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(cte("variants") + " SELECT site, CAST(CASE WHEN alt = '<DEL>' THEN start + 500 ELSE start + length(ref) - 1 END AS INTEGER) AS stop FROM variants")
+def variant_stop(spark, d):
+    end = F.when(F.array_contains("alts", "<DEL>"), F.col("start") + 500)
+    return view(spark, d, "variants").select("site", variants.stop_of(F.col("start"), F.col("ref"), end).alias("stop"))
+
+
+@query(cte("reads") + " SELECT read_name, flag, concat(library, ':', read_name) AS canonical, concat(read_name, CASE WHEN flag & 64 <> 0 THEN '/1' ELSE '/2' END) AS paired FROM reads")
+def read_names(spark, d):
+    return view(spark, d, "reads").select("read_name", "flag", flags.canonical_name(F.col("library"), F.col("read_name")).alias("canonical"), flags.paired_name(F.col("read_name"), F.col("flag")).alias("paired"))
+
+
+@query(cte("reads") + " SELECT a.read_name, a.flag, CASE WHEN a.mapq = 255 THEN 1 ELSE a.mapq * 100 END + 1 AS combined FROM reads a")
+def mapq_combined(spark, d):
+    return view(spark, d, "reads").select("read_name", "flag", flags.combine_mapqs(F.col("mapq"), F.lit(255)).alias("combined"))
+
+
+@query("SELECT c_custkey, translate(c_name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up, reverse(c_name) AS back, trim(c_mktsegment) = '' AS blank FROM customer")
+def text_helpers(spark, d):
+    return view(spark, d, "names").select("c_custkey", text.upper_ascii(F.col("name")).alias("up"), F.reverse("name").alias("back"), text.is_blank(F.col("other")).alias("blank"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, CAST(min(CAST(string_split(o_orderpriority, '-')[1] AS INTEGER)) AS INTEGER) AS first FROM orders GROUP BY 1")
+def split_tokens(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.min(text.split_excess(F.col("o_orderpriority"), "-", 2)[0].cast("int")).alias("first"))
