@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stranda import storage
 from stranda.operators import joins, tiles
 
 COLUMNS = ["contig", "start", "end", "negative", "name"]
@@ -26,20 +27,23 @@ def full(df: DataFrame) -> DataFrame:
     )
 
 
-def islands(df: DataFrame, abutting: bool = True) -> DataFrame:
-    """Appends ``island``: equal, within a contig, for intervals that overlap, or also abut, directly or through others."""
+def islands(df: DataFrame, abutting: bool = True, save: bool = False) -> DataFrame:
+    """Appends ``island``: equal, within a contig, for intervals that overlap, or also abut, directly or through others.
+
+    ``save``: whether what comes before is more than a scan.
+    """
     tiled = tiles.with_tile(df)
-    running = tiles.carried(tiled, F.col("end"), order(), "max", "__max")
+    running = tiles.carried(tiled, F.col("end"), order(), "max", "__max", save=save)
     opens = (F.col("__max").isNull() | (F.col("start") > F.col("__max") + (1 if abutting else 0))).cast("int")
     return tiles.carried(running.withColumn("__open", opens), F.col("__open"), order(), "sum", "island", inclusive=True).drop("__max", "__open", "__tile")
 
 
-def merge(df: DataFrame, abutting: bool = True, join_names: bool = True, same_strand: bool = False) -> DataFrame:
+def merge(df: DataFrame, abutting: bool = True, join_names: bool = True, same_strand: bool = False, save: bool = False) -> DataFrame:
     """Merged intervals: strand of the first; name of the first, or the distinct names joined by ``|`` in order.
 
     ``same_strand`` fails if intervals of both strands would be merged.
     """
-    marked = islands(full(df), abutting)
+    marked = islands(full(df), abutting, save)
     names = F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("start", "end", "negative", "name")))), lambda x: x["name"])
     first = F.min(F.struct("start", "end", "negative", F.coalesce("name", F.lit("")).alias("k"), "name"))
     out = marked.groupBy("contig", "island").agg(
@@ -80,7 +84,7 @@ def invert(df: DataFrame, sequences: DataFrame) -> DataFrame:
 
 def numbered(gaps: DataFrame, sequences: DataFrame) -> DataFrame:
     """Named ``interval-k`` in dictionary order: ranks within tiles, after the counts of all earlier tiles."""
-    placed = tiles.with_tile(gaps).join(sequences.select(F.col("name").alias("contig"), "ref_index"), "contig")
+    placed = tiles.with_tile(storage.saved(gaps, "gaps")).join(sequences.select(F.col("name").alias("contig"), "ref_index"), "contig")
     counts = placed.groupBy("ref_index", "__tile").agg(F.count("*").alias("n"))
     earlier = Window.orderBy("ref_index", "__tile").rowsBetween(Window.unboundedPreceding, -1)  # one row for each tile
     offsets = counts.select("ref_index", "__tile", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__offset"))
@@ -100,7 +104,7 @@ def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
         F.col("b.negative").alias("negative"),
         F.concat(F.coalesce("a.name", F.lit("null")), F.lit(" intersection "), F.coalesce("b.name", F.lit("null"))).alias("name"),
     )
-    return merge(pieces)
+    return merge(pieces, save=True)
 
 
 def subtract(left: DataFrame, right: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -115,7 +119,7 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     events = sides.select("contig", event.alias("e")).groupBy("contig", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("delta")).filter("delta <> 0")
     depth = tiles.carried(tiles.with_tile(events, "pos"), F.col("delta"), ["pos"], "sum", "depth", inclusive=True)
     later = tiles.carried(depth.withColumn("__tile", -F.col("__tile")), F.col("pos"), [F.col("pos").desc()], "min", "next")
-    return merge(later.filter("depth = 1").select("contig", F.col("pos").alias("start"), (F.col("next") - 1).alias("end")))
+    return merge(later.filter("depth = 1").select("contig", F.col("pos").alias("start"), (F.col("next") - 1).alias("end")), save=True)
 
 
 def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def unique_base_count(df: DataFrame) -> DataFrame:
 
 def disordered(df: DataFrame) -> DataFrame:
     """Intervals that overlap an earlier one: none, if a list is free of overlaps."""
-    running = tiles.carried(tiles.with_tile(full(df)), F.col("end"), order(), "max", "__max")
+    running = tiles.carried(tiles.with_tile(full(df)), F.col("end"), order(), "max", "__max", save=False)
     return running.filter(F.col("start") <= F.col("__max")).select(*COLUMNS)
 
 

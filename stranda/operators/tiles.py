@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stranda import storage
+
 TILE = 1 << 17
 
 
@@ -20,11 +22,14 @@ def _tiles_before() -> Window:
     return Window.partitionBy("contig").orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def carried(df: DataFrame, value: Column, order: list, kind: str, name: str, inclusive: bool = False) -> DataFrame:
+def carried(df: DataFrame, value: Column, order: list, kind: str, name: str, inclusive: bool = False, save: bool = True) -> DataFrame:
     """Appends the running maximum, minimum, sum or last non-null value of all earlier rows of a contig (with the row itself, if inclusive).
 
-    ``df`` has a ``__tile`` whose order is that of the rows.
+    ``df`` has a ``__tile`` whose order is that of the rows. It is used twice, for its rows and for its tiles, so it is saved first;
+    ``save`` is false where it is no more than a scan.
     """
+    if save:
+        df = storage.saved(df, "tiles")
     window = Window.partitionBy("contig", "__tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     full = Window.partitionBy("contig", "__tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if kind == "last":
