@@ -219,3 +219,31 @@ def mark_duplicates(reads: DataFrame, score_column: str = "score") -> DataFrame:
     best = (F.col("read_name") == F.col("representative")) & (F.col("flag") == F.col("representative_flag"))
     marked = joined.select(*[keyed[c] for c in reads.columns if c != "flag"], flags.with_bit(F.col("flag"), S.DUPLICATE, ~best).alias("flag"))
     return marked.select(*reads.columns).unionByName(reads.filter(~usable))
+
+
+def keep_pairs_in(reads: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Paired primary reads that overlap an interval themselves or whose mate does; needs ``mate_cigar`` for mapped mates.
+
+    Reads are (contig, start, end, flag, mate_ref, mate_start, mate_cigar, ...).
+    """
+    flag = F.col("flag")
+    usable = reads.filter(flags.has(flag, S.PAIRED) & ~flags.has(flag, S.SECONDARY | S.SUPPLEMENTARY))
+    missing = ~flags.has(flag, S.MATE_UNMAPPED) & F.col("mate_cigar").isNull()
+    end = F.when(missing, F.raise_error(F.concat(F.lit("no CIGAR of the mate of "), "read_name")).cast("int")).otherwise(C.alignment_end(F.col("mate_start"), C.elements(F.col("mate_cigar"))))
+    keys = ["contig", "start", "end", "flag", "mate_ref", "mate_start", "mate_cigar", "read_name"]
+    own = joins.overlap_join(usable.filter(~flags.has(flag, S.UNMAPPED)).select(*keys).distinct(), intervals.select("contig", "start", "end")).select("a.*")
+    mates = usable.filter(~flags.has(flag, S.MATE_UNMAPPED)).select(F.col("mate_ref").alias("contig"), F.col("mate_start").alias("start"), end.alias("end"), F.struct(*keys).alias("row")).distinct()
+    others = joins.overlap_join(mates, intervals.select("contig", "start", "end")).select("a.row.*")
+    hit = own.unionByName(others).distinct()
+    return usable.join(hit, reduce(lambda a, b: a & b, [usable[k].eqNullSafe(hit[k]) for k in keys]), "left_semi")
+
+
+def next_covered(positions: DataFrame, mask: DataFrame) -> DataFrame:
+    """(contig, pos, covered, next): whether a position lies in a mask of merged intervals, and the next one at or after it that does."""
+    probes = positions.select("contig", F.col("pos").cast("long").alias("start"), F.col("pos").cast("long").alias("end")).distinct()
+    table = mask.select("contig", "start", "end")
+    before = joins.nearest(probes.select("contig", "start", (F.col("start") + (1 << 40)).alias("end")), table, forward=False).select("contig", "start", F.col("found_end").alias("b_end"))
+    after = joins.nearest(probes.select("contig", "start", F.lit(0).cast("long").alias("end")), table, forward=True).select("contig", "start", F.col("found_start").alias("a_start"))
+    both = before.join(after, ["contig", "start"])
+    covered = F.coalesce(F.col("b_end") >= F.col("start"), F.lit(False))
+    return both.select("contig", F.col("start").alias("pos"), covered.alias("covered"), F.when(covered, F.col("start")).otherwise(F.col("a_start")).alias("next"))

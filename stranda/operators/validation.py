@@ -95,3 +95,36 @@ def read_group_checksum(groups: DataFrame) -> DataFrame:
     entry = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], e["value"])), "")
     rows = F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("t")))), lambda r: r["t"])
     return groups.agg(F.md5(F.array_join(rows, "").cast("binary")).alias("checksum"))
+
+
+def allele_count_findings(sites: DataFrame, counts: DataFrame, *site: str) -> DataFrame:
+    """Sites whose reported AC or AN (columns ac and an) differ from those counted from genotypes (counted_ac, counted_an)."""
+    both = sites.join(counts, list(site))
+    hits = F.array(F.when(F.col("ac") != F.col("counted_ac"), F.lit("AC_MISMATCH")), F.when(F.col("an") != F.col("counted_an"), F.lit("AN_MISMATCH")))
+    return both.select(*site, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule"))
+
+
+def reference_findings(sites: DataFrame, reference: DataFrame) -> DataFrame:
+    """Sites whose REF differs from the reference's bases (contig, start, end, bases at the sites)."""
+    both = sites.join(reference.select("contig", "start", "bases"), ["contig", "start"])
+    return both.filter(F.upper("ref") != F.upper("bases")).select("contig", "start", "ref", "bases")
+
+
+def header_findings(header: DataFrame) -> DataFrame:
+    """(rule, value) over header lines (kind, fields): missing version, sequences or platform, and ids that occur twice."""
+    rg, sq = header.filter("kind = 'RG'"), header.filter("kind = 'SQ'")
+    twice = lambda rows, key, rule: rows.groupBy(F.col("fields")[key].alias("value")).count().filter("count > 1").select(F.lit(rule).alias("rule"), "value")
+    none = lambda rows, rule: rows.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("value"))
+    platform = rg.filter(F.col("fields")["PL"].isNull()).select(F.lit("MISSING_PLATFORM_VALUE").alias("rule"), F.col("fields")["ID"].alias("value"))
+    version = header.filter("kind = 'HD'").filter(F.col("fields")["VN"].isNull()).select(F.lit("MISSING_VERSION_NUMBER").alias("rule"), F.lit(None).cast("string").alias("value"))
+    return none(sq, "MISSING_SEQUENCE_DICTIONARY").unionByName(none(rg, "MISSING_READ_GROUP")).unionByName(platform).unionByName(version).unionByName(twice(rg, "ID", "DUPLICATE_READ_GROUP_ID")).unionByName(twice(sq, "SN", "DUPLICATE_SEQUENCE_NAME"))
+
+
+def compare_reads(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("read_name", "flag"), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Records of two files that differ: (keys, column) for each column, or ``only in`` one file."""
+    names = [c for c in (columns or a.columns) if c not in keys]
+    left, right = a.select(*keys, F.struct(*names).alias("x")), b.select(*keys, F.struct(*names).alias("y"))
+    both = left.join(right, list(keys), "full")
+    differ = [F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), F.lit(c)) for c in names]
+    hits = F.array(F.when(F.col("y").isNull(), F.lit("only in first")), F.when(F.col("x").isNull(), F.lit("only in second")), *differ)
+    return both.select(*keys, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("column"))

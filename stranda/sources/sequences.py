@@ -126,3 +126,30 @@ def write_metrics(metrics: DataFrame, path: str, name: str, histogram: DataFrame
         head += ["## HISTOGRAM\tdouble", "\t".join(histogram.columns), *(r.value for r in cells(histogram.orderBy(histogram.columns[0])).collect()), ""]
     spark = metrics.sparkSession
     spark.createDataFrame([(i, h) for i, h in enumerate(head)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+
+
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """(name, length, offset, bases_per_line, bytes_per_line) of line-wrapped files with line feeds: where each contig's bases begin."""
+    rows = lines.numbered(spark, path).select("file", "line", "value", (F.octet_length("value") + 1).alias("bytes"), F.col("value").startswith(">").alias("head"))
+    in_file = Window.partitionBy("file").orderBy("line")
+    # Files of references hold few lines for each contig when wrapped widely; sums go over a file in order.
+    placed = rows.withColumns({"at": F.coalesce(F.sum("bytes").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "k": F.sum(F.col("head").cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, 0))})
+    body = F.when(~F.col("head"), F.octet_length("value"))
+    out = placed.groupBy("file", "k").agg(
+        F.max(F.when(F.col("head"), F.regexp_extract("value", r"^>(\S*)", 1))).alias("name"), F.coalesce(F.sum(body), F.lit(0)).alias("length"), F.min(F.when(~F.col("head"), F.col("at"))).alias("offset"), F.max(body).alias("bases_per_line")
+    )
+    return out.filter("name is not null").select("name", "length", "offset", "bases_per_line", (F.col("bases_per_line") + 1).alias("bytes_per_line"))
+
+
+def read_bundle(text: str) -> dict[str, dict]:
+    """The resources of a bundle's JSON by type; fails on a missing schema or primary resource."""
+    import json
+
+    data = json.loads(text)
+    if "version" not in data.get("schema", {}):
+        raise ValueError("not a bundle")
+    primary = data.get("primary")
+    out = {k: v for k, v in data.items() if k not in ("schema", "primary")}
+    if primary not in out:
+        raise ValueError("a bundle names its primary resource")
+    return out

@@ -69,3 +69,28 @@ def test_binary_alignments_round_trip(spark, tmp_path):
     assert bam.header_text(spark, str(tmp_path / "out")) == head
     big = bam.deflate(bytes(range(256)) * 2000)
     assert b"".join(bam.inflate(big)) == bytes(range(256)) * 2000
+
+
+def test_pairs_masks_and_file_checks(spark, tmp_path):
+    from stranda.operators import reads, validation
+    from stranda.sources import sequences
+
+    rows = [("a", "c", 10, 19, 65, "c", 500, "10M"), ("a", "c", 500, 509, 129, "c", 10, "10M"), ("b", "c", 900, 909, 65, "c", 950, "10M"), ("x", "c", 12, 15, 0, None, 0, None), ("s", "c", 12, 15, 257, "c", 14, "4M")]
+    df = spark.createDataFrame(rows, "read_name string, contig string, start int, end int, flag int, mate_ref string, mate_start int, mate_cigar string")
+    zone = spark.createDataFrame([("c", 15, 40)], "contig string, start int, end int")
+    assert sorted((r.read_name, r.start) for r in reads.keep_pairs_in(df, zone).collect()) == [("a", 10), ("a", 500)]
+    spots = spark.createDataFrame([("c", p) for p in (1, 15, 40, 41)], "contig string, pos int")
+    mask = spark.createDataFrame([("c", 15, 40), ("c", 60, 61)], "contig string, start bigint, end bigint")
+    assert {r.pos: (r.covered, r.next) for r in reads.next_covered(spots, mask).collect()} == {1: (False, 15), 15: (True, 15), 40: (True, 40), 41: (False, 60)}
+    sites = spark.createDataFrame([(1, 2, 4), (2, 1, 4)], "site int, ac int, an int")
+    counts = spark.createDataFrame([(1, 2, 4), (2, 3, 6)], "site int, counted_ac int, counted_an int")
+    assert sorted(r.rule for r in validation.allele_count_findings(sites, counts, "site").collect()) == ["AC_MISMATCH", "AN_MISMATCH"]
+    head = sam.header(spark, put(tmp_path, "h.sam", SAM))
+    assert [r.rule for r in validation.header_findings(head).collect()] == ["MISSING_PLATFORM_VALUE"]
+    one = sam.read(spark, put(tmp_path, "b.sam", SAM))
+    two = one.withColumn("mapq", F.when(F.col("flag") == 99, 7).otherwise(F.col("mapq"))).filter("flag <> 4")
+    diff = validation.compare_reads(one, two, columns=("mapq", "start", "cigar"))
+    assert sorted((r.flag, r.column) for r in diff.collect()) == [(4, "only in first"), (99, "mapq")]
+    fa = put(tmp_path, "x.fa", ">c1 first\nACGT\nAC\n>c2\nGGGGG\n")
+    assert sorted(tuple(r) for r in sequences.fasta_index(spark, fa).collect()) == [("c1", 6, 10, 4, 5), ("c2", 5, 22, 5, 6)]
+    assert sequences.read_bundle('{"schema": {"name": "bundle", "version": "0.1.0"}, "primary": "ALIGNED_READS", "ALIGNED_READS": {"path": "a.bam"}}') == {"ALIGNED_READS": {"path": "a.bam"}}
