@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a minimal acyclic transducer.
 
-Spark counts the pre-tokens of all texts; the ``lexicon_words`` most frequent are compiled, with the ids that they encode to, into an
+Spark counts the pre-tokens of all texts; the most frequent, LEXICON_WORDS at most, are compiled, with the ids that they encode to, into an
 automaton in which words share prefixes and suffixes: each arc carries a number, the numbers along a word's path add up to the
 word's place in the lexicon, and the place gives its ids. The automaton is one flat file that Spark hands to each executor, where the workers
 memory-map it. Pre-tokens that it doesn't hold are merged exactly, pair by pair in order of rank.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from stranda.llm import common, encoders
 
-LEXICON_WORDS = 1 << 16
+LEXICON_WORDS, STEPS = 1 << 16, 32
 #: Longer pre-tokens aren't put in the lexicon; they are merged like others that it lacks.
 LONGEST = 48
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -195,7 +195,7 @@ class Lexicon:
 class Coder(encoders.Vocabulary):
     """Encodes and decodes, with a bounded memory of words (each with the space before it and all up to the next)."""
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 1_500_000):
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 1_000_000):
         self.merges, self.lexicon = merges, lexicon
         self.found: dict[str, list[int]] = {}  # no more than the lexicon holds
         super().__init__(most)
@@ -311,14 +311,25 @@ def count_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield tally(seen)
         yield tally(seen)
 
-    return common.emit(docs, "word string, n bigint", run, [text], rows=4096).groupBy("word").agg(F.sum("n").alias("n"))
+    return common.emit(docs, "word string, n bigint", run, [text], rows=2048).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Counts, compiles and hands out a lexicon; its file's name. At most ``words`` words come to the driver."""
-    top = count_pre_tokens(docs, text).filter("n > 1").orderBy(F.desc("n"), "word").limit(words).toArrow()
+    """Counts, compiles and hands out a lexicon; its file's name. At most ``words`` words come to the driver.
+
+    Which counts are high enough is read from a histogram of counts (STEPS steps for each doubling), so no task sorts all words.
+    """
+    counts = common.save(count_pre_tokens(docs, text).filter("n > 1"), "pre-tokens")
+    step = F.floor(F.log2("n") * STEPS)
+    bins = sorted(((r.step, r.words) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    held, least = 0, None
+    for at, n in bins:
+        if held + n > words:
+            break
+        held, least = held + n, at
     merges = Merges(path)
-    table = {w: merges.merge(w) for w in (word.encode() for word in top["word"].to_pylist()) if len(w) <= LONGEST}
+    top = [] if least is None else counts.filter(step >= least).select("word").toArrow()["word"].to_pylist()
+    table = {w: merges.merge(w) for w in (word.encode() for word in top) if len(w) <= LONGEST}
     return common.put_file(docs.sparkSession, "lexicon", Lexicon.build(table))
 
 
@@ -342,7 +353,7 @@ def digests(docs: DataFrame, path: str, lexicon: str, text: str = "text", keep:
     """Rows with n_tokens and the SHA-256 of the ids and of the text decoded from them appended."""
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return common.add_columns(docs, fields, lambda coder, column: coder.digests(column), [text], coder_for(path, lexicon), keep, rows=4096)
+    return common.add_columns(docs, fields, lambda coder, column: coder.digests(column), [text], coder_for(path, lexicon), keep, rows=2048)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

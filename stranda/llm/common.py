@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import ctypes
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,27 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stranda.storage import shared_dir
+
 #: Rows that a Python function sees at once; Arrow batches are cut to this many.
 SLICE = 512
 #: More rows than SLICE make at most so many bytes.
 SLICE_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="stranda-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; in a folder of the local file system it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if path.startswith(("/", "file:/")):
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return path
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +61,15 @@ def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     return unique
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., list], inputs: list[str], setup: Callable[[], object] | None = None, keep: list[str] | None = None, rows: int = SLICE) -> DataFrame:
     """Appends computed columns to rows without moving them.
 
@@ -91,6 +94,10 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., li
                 made = fn(state, *(part.column(n + k) for k in range(m)))
                 columns = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *columns], schema=pa.schema([*list(part.schema)[:n], *added]))
+                del part, made, columns
+            release()
+        del state
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -112,9 +119,12 @@ def emit(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[list[
                 step = rows if batch.nbytes * rows < SLICE_BYTES * max(batch.num_rows, 1) else min(rows, SLICE)
                 for at in range(0, batch.num_rows, step):
                     yield batch.slice(at, step).columns
+                release()
 
         for columns in fn(parts()):
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            del columns
+        release()
 
     return source.mapInArrow(run, schema)
 

@@ -69,20 +69,25 @@ class Vocabulary:
 
     def numbers(self, parts: pa.Array) -> np.ndarray:
         at = pc.index_in(parts, value_set=self.words)
-        if at.null_count:
-            new = pc.unique(parts.filter(pc.is_null(at)))
-            if len(self.words) + len(new) > self.most:
-                self.forget()
-                new = pc.unique(parts)
-            self.learn(new)
-            at = pc.index_in(parts, value_set=self.words)
-        return at.to_numpy(zero_copy_only=False)
+        if not at.null_count:
+            return at.to_numpy(zero_copy_only=False)
+        missing = pc.is_null(at)
+        coded = pc.dictionary_encode(parts.filter(missing))
+        if len(self.words) + len(coded.dictionary) > self.most:
+            self.forget()
+            coded = pc.dictionary_encode(parts)
+            self.learn(coded.dictionary)
+            return coded.indices.to_numpy(zero_copy_only=False)
+        out = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).copy()
+        out[missing.to_numpy(zero_copy_only=False)] = len(self.words) + coded.indices.to_numpy(zero_copy_only=False)
+        self.learn(coded.dictionary)
+        return out
 
 
 class Encoder(Vocabulary):
     """Token ids of whole texts, as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, drops_space: bool, most: int = 1_500_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

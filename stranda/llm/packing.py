@@ -139,7 +139,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: str
             yield out
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = common.emit(docs, f"doc_id {kind}, doc_tokens bigint, crcs array<bigint>, rest bigint, rest_crc bigint, rest_ids binary", run, [doc_id, text], rows=4096)
+    rows = common.emit(docs, f"doc_id {kind}, doc_tokens bigint, crcs array<bigint>, rest bigint, rest_crc bigint, rest_ids binary", run, [doc_id, text], rows=2048)
     return common.save(rows.withColumn("uid", F.monotonically_increasing_id()), "packing-tokens")
 
 

@@ -99,7 +99,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, drop
             yield out
 
     kind_of_id = docs.schema[doc_id].dataType.simpleString()
-    staged = common.emit(docs, f"doc_id {kind_of_id}, n_tokens bigint, digests array<binary>, payloads array<binary>", encode, [doc_id, text], rows=4096)
+    staged = common.emit(docs, f"doc_id {kind_of_id}, n_tokens bigint, digests array<binary>, payloads array<binary>", encode, [doc_id, text], rows=2048)
     staged = common.save(staged.withColumn("uid", F.monotonically_increasing_id()), "encoded")
 
     sent = staged.select(F.explode(F.arrays_zip("digests", "payloads")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.payloads").alias("payload")).filter("payload is not null")
