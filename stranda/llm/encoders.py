@@ -33,8 +33,13 @@ def whole(column: pa.Array) -> pa.Array:
 
 
 def split_dropping(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words of all texts, and where each text's words end (after a leading 0), for tokenizers that drop white space."""
-    parts = pc.ascii_split_whitespace(column)
+    """Words of all texts, and where each text's words end (after a leading 0), for tokenizers that drop white space.
+
+    Full stops and commas are words of their own in texts where letters or digits stand before all of them.
+    """
+    stops = pc.match_substring_regex(column, r"(^|[^\pL\pN])[.,]")
+    split = pc.replace_substring(pc.replace_substring(column, ",", " ,"), ".", " .")
+    parts = pc.ascii_split_whitespace(pc.if_else(stops, column, split))
     ends = parts.offsets.to_numpy()
     return parts.flatten(), ends - ends[0]
 
@@ -167,11 +172,11 @@ class Encoder(Vocabulary):
 _made: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, most: int = 700_000) -> Encoder:
     """One for each worker process."""
-    key = (path, drops_space)
+    key = (path, drops_space, most)
     if key not in _made:
-        _made[key] = Encoder(path, drops_space)
+        _made[key] = Encoder(path, drops_space, most)
     return _made[key]
 
 

@@ -30,6 +30,8 @@ from stranda.llm import common, encoders
 
 END_ID = 1
 WINDOW, LEAST, MOST, MASK_BITS = 8, 128, 2048, 9
+#: Words that an encoder remembers.
+WORDS = 1_200_000
 #: Odd multipliers of the rolling hash: powers of one number.
 POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 EMPTY_ROOT = hashlib.sha256(b"").digest()
@@ -76,7 +78,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, drop
     kind = f"<u{id_bytes}"
 
     def encode(parts) -> Iterator[list]:
-        coder = encoders.encoder(tokenizer, drops_space)
+        coder = encoders.encoder(tokenizer, drops_space, WORDS)
         seen: set[bytes] = set()  # chunks that this task has sent already; a new set when it is large
         for ids, column in parts:
             out = [ids, [], [], []]
@@ -99,7 +101,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, drop
             yield out
 
     kind_of_id = docs.schema[doc_id].dataType.simpleString()
-    staged = common.emit(docs, f"doc_id {kind_of_id}, n_tokens bigint, digests array<binary>, payloads array<binary>", encode, [doc_id, text], rows=2048)
+    staged = common.emit(docs, f"doc_id {kind_of_id}, n_tokens bigint, digests array<binary>, payloads array<binary>", encode, [doc_id, text], rows=4096)
     staged = common.save(staged.withColumn("uid", F.monotonically_increasing_id()), "encoded")
 
     sent = staged.select(F.explode(F.arrays_zip("digests", "payloads")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.payloads").alias("payload")).filter("payload is not null")

@@ -77,7 +77,7 @@ def test_encoder_is_exact_with_little_memory():
     for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
         t = Tokenizer.from_file(encoders.default_path(name))
         small = encoders.Encoder(encoders.default_path(name), drops, most=5)
-        for text in [*texts(), "a 　 b", "end  ", "\n\n x\t\ty \r\n", "a\x0bb\x0c c", "Ḧ h̤ H̱ K Å A\u030a", "it's IT'S x'tea,foo.bar ...", "Été, ÀÉ. Straße,"]:
+        for text in [*texts(), "a 　 b", "end  ", "\n\n x\t\ty \r\n", "a\x0bb\x0c c", "Ḧ h̤ H̱ K Å A\u030a", "it's IT'S x'tea,foo.bar ...", "Été, ÀÉ. Straße,", "one,two. 3.5,x", ", .a", "a,,b..", "x́. y"]:
             text = text or ""
             assert np.frombuffer(small.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
