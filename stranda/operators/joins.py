@@ -13,7 +13,7 @@ from stranda import schema as S
 from stranda.functions import flags
 from stranda.operators import tiles
 
-BIN = 1 << 14
+BIN = 1 << 10
 
 
 def _binned(df: DataFrame, side: str, width: int, before: int = 0, after: int = 0) -> DataFrame:
