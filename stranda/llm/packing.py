@@ -15,7 +15,6 @@ without rows give no pieces.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -120,35 +119,33 @@ class Plan:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: str, doc_id: str) -> DataFrame:
-    """(uid, doc_id, doc_tokens, crcs of whole windows, and the remainder's length, CRC and ids), written once."""
+    """(uid, doc_id, doc_tokens, ids of each whole window, and the remainder's length and ids), written once; ids as little-endian words of 32 bits."""
 
     def run(parts) -> Iterator[list]:
         coder, end = encoders.encoder(tokenizer, False), np.array([end_id], "<u4").tobytes()
         for ids, column in parts:
-            out = [ids, [], [], [], [], []]
+            out = [ids, [], [], [], []]
             for found in coder.encode_column(column):
                 data = found.tobytes() + end
                 n = len(data) // 4
                 whole = n // window
-                rest = data[4 * window * whole :]
                 out[1].append(n)
-                out[2].append([zlib.crc32(data[4 * window * i : 4 * window * (i + 1)]) for i in range(whole)])
+                out[2].append([data[4 * window * i : 4 * window * (i + 1)] for i in range(whole)])
                 out[3].append(n - whole * window)
-                out[4].append(zlib.crc32(rest))
-                out[5].append(rest)
+                out[4].append(data[4 * window * whole :])
             yield out
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = common.emit(docs, f"doc_id {kind}, doc_tokens bigint, crcs array<bigint>, rest bigint, rest_crc bigint, rest_ids binary", run, [doc_id, text], rows=2048)
+    rows = common.emit(docs, f"doc_id {kind}, doc_tokens bigint, windows array<binary>, rest bigint, rest_ids binary", run, [doc_id, text], rows=2048)
     return common.save(rows.withColumn("uid", F.monotonically_increasing_id()), "packing-tokens")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Pieces: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    """Pieces with their ids: (doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset); ids as little-endian words of 32 bits."""
     spark = docs.sparkSession
     rows = encoded(docs, tokenizer, end_id, window, text, doc_id)
     kind = docs.schema[doc_id].dataType.simpleString()
-    light = rows.select("uid", "doc_id", "doc_tokens", F.size("crcs").cast("long").alias("whole"), "rest", "rest_crc", F.shiftright("uid", 33).alias("task"))
+    light = rows.select("uid", "doc_id", "doc_tokens", F.size("windows").cast("long").alias("whole"), "rest", F.shiftright("uid", 33).alias("task"))
     earlier = lambda *keys: Window.partitionBy(*keys).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
 
     counts = {r.rest: r.n for r in light.filter("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
@@ -160,11 +157,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     in_task = Window.partitionBy("task").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
     firsts = light.filter("whole > 0").select("uid", "task", F.coalesce(F.sum("whole").over(in_task), F.lit(0)).alias("run")).join(by_task, "task").select("uid", (F.col("before") + F.col("run")).alias("first"))
     wholes = (
-        rows.filter(F.size("crcs") > 0)
-        .select("uid", "doc_id", "doc_tokens", "crcs")
+        rows.filter(F.size("windows") > 0)
+        .select("uid", "doc_id", "doc_tokens", "windows")
         .join(firsts, "uid")
-        .select("doc_id", "doc_tokens", "first", F.posexplode("crcs").alias("k", "ids_crc32"))
-        .select("doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        .select("doc_id", "doc_tokens", "first", F.posexplode("windows").alias("k", "ids"))
+        .select("doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids", "doc_tokens", (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     )
 
     # Remainders: the rank among those of the same length.
@@ -174,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
 
     def place(parts) -> Iterator[list]:
         where = plan.value
-        for uid, ids, sizes, whole, rest, crc, rank in parts:
+        for uid, ids, sizes, whole, rest, rank in parts:
             lengths, ranks = rest.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
             for k in np.unique(lengths).tolist():
@@ -185,26 +182,24 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             start = whole.to_numpy(zero_copy_only=False) * window
             both = lambda a, b: pa.array(np.concatenate([a, b]))
             take = pa.array(np.concatenate([np.arange(len(ranks)), cut]))
-            crcs = crc.to_pylist()
-            for i in cut.tolist():
-                crcs[i] = None  # known once the ids are read again
-            yield [uid.take(take), ids.take(take), both(start, start[cut] + first[cut]), both(first, (lengths - first)[cut]), pa.array(crcs + [None] * len(cut), pa.int64()), sizes.take(take), both(sequence, sequence[cut] + 1), both(offset, np.zeros(len(cut), np.int64))]
+            yield [uid.take(take), ids.take(take), both(start, start[cut] + first[cut]), both(first, (lengths - first)[cut]), sizes.take(take), both(sequence, sequence[cut] + 1), both(offset, np.zeros(len(cut), np.int64))]
 
-    schema = f"uid bigint, doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    placed = common.save(common.emit(ranked, schema, place, ["uid", "doc_id", "doc_tokens", "whole", "rest", "rest_crc", "rank"]), "packing-places")
+    schema = f"uid bigint, doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+    placed = common.save(common.emit(ranked, schema, place, ["uid", "doc_id", "doc_tokens", "whole", "rest", "rank"]), "packing-places")
 
-    def summed(parts) -> Iterator[list]:
-        for ids, start, length, tokens, sequence, offset, data in parts:
-            crcs = [zlib.crc32(d[4 * (s % window) : 4 * (s % window + n)]) for s, n, d in zip(start.to_pylist(), length.to_pylist(), data.to_pylist(), strict=True)]
-            yield [ids, start, length, crcs, tokens, sequence, offset]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    within = (F.col("start") % window * 4 + 1).cast("int")
+    rest = placed.join(rows.select("uid", "rest_ids"), "uid").withColumn("ids", F.substring("rest_ids", within, (F.col("length") * 4).cast("int")))
+    pieces = wholes.select(names).unionByName(rest.select(names).withColumn("sequence_id", F.col("sequence_id") + F.lit(n_whole)))
+    return pieces.select(*names[:4], F.crc32("ids").alias("ids_crc32"), *names[4:])
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    pieces = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    cut = common.emit(placed.filter("ids_crc32 is null").join(rows.select("uid", "rest_ids"), "uid"), pieces, summed, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "rest_ids"])
-    rest = placed.filter("ids_crc32 is not null").select(names).unionByName(cut)
-    return wholes.select(names).unionByName(rest.withColumn("sequence_id", F.col("sequence_id") + F.lit(n_whole)))
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the packed sequences, each the ids of its pieces one after another."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return pieces.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b""), lambda done, part: F.concat(done, part["ids"])).alias("ids"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    return pack(docs, encoders.default_path("byte_bpe_50k.json"))
+    return pack(docs, encoders.default_path("byte_bpe_50k.json")).drop("ids")

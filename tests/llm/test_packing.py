@@ -92,3 +92,18 @@ def test_plan_places_each_rank_once():
     total = sum(k * n for k, n in counts.items())
     assert set(filled.values()) == {1} and len(filled) == total
     assert max(s for s, _ in filled) == -(-total // 64) - 1
+
+
+def test_packed_sequences_hold_every_id(spark):
+    rng = random.Random(13)
+    rows = list(enumerate(["long text " * 3000, "", "word " * 1023, *("w%d " % i * rng.randint(1, 1500) for i in range(60))]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    pieces = P.pack(docs, PATH).cache()
+    t = Tokenizer.from_file(PATH)
+    want = {i: t.encode(text, add_special_tokens=False).ids + [0] for i, text in rows}
+    packed = {r.sequence_id: np.frombuffer(r.ids, "<u4").tolist() for r in P.sequences(pieces).collect()}
+    found = defaultdict(list)
+    for p in sorted(pieces.collect(), key=lambda p: p.start):
+        assert p.ids_crc32 == zlib.crc32(p.ids)
+        found[p.doc_id] += packed[p.sequence_id][p.offset : p.offset + p.length]
+    assert found == want and sum(map(len, packed.values())) == sum(map(len, want.values()))
