@@ -35,8 +35,13 @@ SAMPLE_DOCS = 600
 SCORE_BYTES = 24
 #: In filters, texts with a lower score are rejected.
 MIN_SCORE = 0.5
+#: In filters, texts are rejected whose bits a letter exceed their language's median by more than WIDTH robust deviations, of at least FLOOR medians.
+WIDTH, FLOOR = 10.0, 0.15
+#: Steps of the histogram of bits a letter from which medians are read.
+STEP = 1 / 128
 LETTERS = re.compile(r"[^\W\d_]+")
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+COST = T.StructField("__bits", T.DoubleType())
 
 
 def word_grams(word: str) -> Iterator[bytes]:
@@ -163,14 +168,18 @@ class Scorer:
         return self.bits[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
     def predict(self, text: str) -> tuple[str, float]:
+        return self.measure(text)[:2]
+
+    def measure(self, text: str) -> tuple[str, float, float | None]:
+        """The language, the score, and the bits a letter under the language's tree."""
         words = words_of(text)
         if not self.trees.langs or not has_letter(words):
-            return "und", 0.0
+            return "und", 0.0, None
         bits = self.lengths(words)
         size = sum(len(w) for w in words)
         weights = np.exp2(-(bits - bits.min()) * min(1.0, SCORE_BYTES / size))
         best = int(bits.argmin())
-        return self.trees.langs[best], float(weights[best] / weights.sum())
+        return self.trees.langs[best], float(weights[best] / weights.sum()), float(bits[best]) / size
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -190,22 +199,57 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", l
     return ContextTrees(list(zip(got["lang"].to_pylist(), got["gram"].to_pylist(), got["n"].to_pylist(), strict=True)))
 
 
-def predictions(docs: DataFrame, trees: ContextTrees, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Rows with lang_pred and score appended."""
+def predictions(docs: DataFrame, trees: ContextTrees, text: str = "text", keep: list[str] | None = None, cost: bool = False) -> DataFrame:
+    """Rows with lang_pred and score appended, and with ``cost`` the bits a letter as __bits."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    fields = [*FIELDS, COST] if cost else FIELDS
 
     def run(scorer, column):
-        found = [scorer.predict(t) for t in common.texts(column)]
-        return [[f[0] for f in found], [f[1] for f in found]]
-
-    return common.add_columns(docs, FIELDS, run, [text], lambda: Scorer(shared.value), keep)
-
-
-def kept(docs: DataFrame, min_score: float = MIN_SCORE, text: str = "text") -> DataFrame:
-    """The rows whose language is found with some certainty, with their own columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
-    found = predictions(rows, learn(docs), "__text", keep=["__row"])
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("__row.*")
+        found = [scorer.measure(t) for t in common.texts(column)]
+        return [[f[k] for f in found] for k in range(len(fields))]
+
+    return common.add_columns(docs, fields, run, [text], lambda: Scorer(shared.value), keep)
+
+
+def weighted_median(pairs: list[tuple[int, int]]) -> int:
+    half, seen = sum(n for _, n in pairs) / 2, 0
+    for value, n in sorted(pairs):
+        seen += n
+        if seen >= half:
+            return value
+    return 0
+
+
+def bounds(found: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> dict[str, float]:
+    """By language, the most bits a letter that its texts may cost: from all rows (lang_pred, __bits, __lang, __held) whose label agrees.
+
+    Held-out rows tell it, as nothing was learned from them; if a language has none, its other rows do. Only histograms are gathered.
+    """
+    bins = found.filter(F.col("lang_pred") == F.col("__lang")).groupBy("lang_pred", "__held", F.round(F.col("__bits") / STEP).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    by: dict[str, dict[bool, list]] = defaultdict(lambda: defaultdict(list))
+    for r in bins.collect():
+        by[r.lang_pred][r["__held"]].append((r.bin, r.n))
+    out = {}
+    for code, rows in by.items():
+        pairs = rows[True] or rows[False]
+        mid = weighted_median(pairs)
+        sigma = max(floor * mid, 1.4826 * weighted_median([(abs(b - mid), n) for b, n in pairs]))
+        out[code] = (mid + width * sigma) * STEP
+    return out
+
+
+def kept(docs: DataFrame, min_score: float = MIN_SCORE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """The rows whose language is found with some certainty and that cost no more bits than its texts do, with their own columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"), F.col(lang).alias("__lang"), held_out(doc_id).alias("__held"))
+    found = predictions(rows, learn(docs, text=text, lang=lang, doc_id=doc_id), "__text", ["__row", "__lang", "__held"], cost=True)
+    found = common.save(found, "languages")
+    most = bounds(found)
+    if not most:
+        return docs.limit(0)
+    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[F.col("lang_pred")]
+    # A language of which no labelled row was recognised has no bound.
+    fits = F.coalesce(F.col("__bits") <= limit, F.lit(True))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score) & fits).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

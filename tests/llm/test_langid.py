@@ -94,3 +94,20 @@ def test_scorer_forgets_words_without_changing_scores(spark):
     wide, narrow = L.Scorer(trees), L.Scorer(trees, most=2)
     for words in (["x", "y"], ["xy", "yx"], ["x", "y", "xx", "yy"], ["x"]):
         assert narrow.lengths(words) == pytest.approx(wide.lengths(words))
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    rng = random.Random(6)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60))
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心",
+        noise,
+    ]
+    docs = spark.createDataFrame(corpus() + [(800 + k, t, None, 1, "") for k, t in enumerate(foreign)], SCHEMA)
+    before = L.predictions(docs, L.learn(docs)).filter("doc_id >= 800 and score >= 0.5").count()
+    assert before >= 3  # the share of the likelihood alone lets them pass
+    kept = {r.doc_id for r in L.kept(docs).collect()}
+    assert not kept & set(range(800, 805)) and len(kept) >= 88
