@@ -84,7 +84,7 @@ def prefix(n: int, least: float) -> int:
 
 
 def shingle_sets(docs: DataFrame, size: int, least: float, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, set_id, n, hashes) of each row, the hashes in the order of the index; written once."""
+    """(doc_id, set_id, __text_hash, n, hashes) of each row, the hashes those of the prefix in the order of the index; written once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, text))
 
     def run(state, column):
@@ -93,11 +93,12 @@ def shingle_sets(docs: DataFrame, size: int, least: float, text: str, doc_id: st
             found = shingles(t, size)
             out[0].append(set_id(found))
             out[1].append(len(found))
-            out[2].append(ordered(found, *state).tobytes())
+            out[2].append(ordered(found, *state)[: prefix(len(found), least) if len(found) else 0].tobytes())
         return out
 
     fields = [T.StructField("set_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("hashes", T.BinaryType())]
-    return common.save(common.add_columns(docs, fields, run, [text], lambda: shared.value, [doc_id]), "shingle-sets")
+    rows = docs.select(F.col(doc_id), F.col(text), F.xxhash64(text).alias("__text_hash"))
+    return common.save(common.add_columns(rows, fields, run, [text], lambda: shared.value, [doc_id, "__text_hash"]), "shingle-sets")
 
 
 def postings(sets: DataFrame, least: float) -> DataFrame:
@@ -120,11 +121,20 @@ def possible(a: str, b: str, least: float) -> Column:
     return (F.least(n - i, m - j) * F.lit(1 + least) >= (n + m) * F.lit(least) - F.lit(1e-6)) & (F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-6))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of set ids that reach the similarity."""
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, least: float, text: str) -> DataFrame:
+    """The pairs (a, b) of set ids that reach the similarity; whole sets are made again from one text of each."""
     pairs = common.save(pairs.distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    have = sets.select("set_id", "hashes").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("hashes").alias("hashes"))
+    wanted = sets.select("set_id", "__text_hash").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("__text_hash").alias("__text_hash"))
+    wanted = common.save(wanted.select("__text_hash").distinct(), "near-texts")
+    chosen = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("__text_hash")).join(wanted, "__text_hash", "left_semi").select("text")
+
+    def whole(parts):
+        for (column,) in parts:
+            found = [shingles(t, size) for t in common.utf8(column)]
+            yield [[set_id(x) for x in found], [x.tobytes() for x in found]]
+
+    have = common.emit(chosen, "set_id bigint, hashes binary", whole, ["text"]).groupBy("set_id").agg(F.min("hashes").alias("hashes"))
     have = common.save(have, "near-sets")
     both = pairs.join(have.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(have.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
 
@@ -141,7 +151,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return common.save(common.emit(both, "a bigint, b bigint", run, ["a", "b", "x", "y"]), "near-links")
 
 
-def links(sets: DataFrame, least: float = LEAST) -> DataFrame:
+def links(sets: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LEAST, text: str = "text") -> DataFrame:
     """(a, b): links between distinct sets whose components are those of all pairs that reach the similarity."""
     posts = postings(sets, least)
     lists = posts.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
@@ -150,14 +160,14 @@ def links(sets: DataFrame, least: float = LEAST) -> DataFrame:
     lead = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("by"), "id", "n", "place")).alias("l")).select("key", "l.id", "l.n", "l.place")
     star = shared.alias("p").join(lead.alias("l"), "key").filter((F.col("p.id") != F.col("l.id")) & possible("p", "l", least))
     star = star.select(F.least("p.id", "l.id").alias("a"), F.greatest("p.id", "l.id").alias("b"))
-    first = verified(star, sets, least)
+    first = verified(star, sets, docs, size, least, text)
     roots = simhash.components(first)
     rooted = shared.join(roots, shared.id == roots.node, "left").select("key", "id", "n", "place", F.coalesce("root", "id").alias("root"))
     rooted = common.save(rooted, "near-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     rest = common.save(rooted.join(mixed, "key"), "near-rest")
     pairs = rest.alias("p").join(rest.alias("q"), "key").filter((F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & possible("p", "q", least))
-    second = verified(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")), sets, least)
+    second = verified(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")), sets, docs, size, least, text)
     return first.unionByName(second)
 
 
@@ -165,7 +175,7 @@ def rooted(docs: DataFrame, size: int, least: float, text: str, doc_id: str) ->
     """(doc_id, set_id, root, component_id) for each row: with the component's smallest set id."""
     sets = shingle_sets(docs, size, least, text, doc_id)
     distinct = common.save(sets.groupBy("set_id").agg(F.min(doc_id).alias("least")), "near-groups")
-    roots = simhash.components(links(sets, least))
+    roots = simhash.components(links(sets, docs, size, least, text))
     groups = common.save(distinct.join(roots, distinct.set_id == roots.node, "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root")), "near-roots")
     named = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     return sets.select(doc_id, "set_id").join(groups.join(named, "root").select("set_id", "root", "component_id"), "set_id").select(doc_id, "set_id", "root", "component_id")
