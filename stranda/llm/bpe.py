@@ -1,7 +1,7 @@
 """BPE encoding and decoding by a minimal acyclic transducer.
 
-Spark counts the pre-tokens of all texts; the most frequent, LEXICON_WORDS at most, are compiled, with the ids that they encode to, into an
-automaton in which words share prefixes and suffixes: each arc carries a number, the numbers along a word's path add up to the
+Spark counts the pre-tokens of all texts; the most frequent (whole steps of a histogram of counts, LEXICON_WORDS at most) are compiled, with
+the ids that they encode to, into an automaton in which words share prefixes and suffixes: each arc carries a number, the numbers along a word's path add up to the
 word's place in the lexicon, and the place gives its ids. The automaton is one flat file that Spark hands to each executor, where the workers
 memory-map it. Pre-tokens that it doesn't hold are merged exactly, pair by pair in order of rank.
 
@@ -9,7 +9,7 @@ The results are those of the tokenizers library without truncation, padding or a
 becomes its id, as there. Decoding goes from ids to bytes to text, special tokens included.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows count each; tables without rows
-give tables without rows; other columns, whatever their names, pass through.
+give tables without rows; other columns pass through, but for one that has an appended column's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,8 @@ from stranda.llm import common, encoders
 LEXICON_WORDS, STEPS = 1 << 16, 32
 #: Longer pre-tokens aren't put in the lexicon; they are merged like others that it lacks.
 LONGEST = 48
+#: Distinct words that are summed in a task at once.
+COUNTED = 400_000
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
@@ -43,6 +46,15 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 NONE, LOW = 1 << 62, (1 << 24) - 1
 
 
+SLOTS = 18
+MASK = (1 << SLOTS) - 1
+
+
+def slots(pairs: np.ndarray) -> np.ndarray:
+    """Places of pairs of ids in a hash table."""
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
 def byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write each byte as a letter: printable Latin-1 as itself, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,11 +75,84 @@ class Merges:
         self.token |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.of_byte = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.joined: dict[tuple[int, int], int] = {}
         for k, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank.setdefault((vocab[a], vocab[b]), (k, vocab[a + b]))
-        self.joined = {pair: k << 24 | made for pair, (k, made) in self.rank.items()}
+            self.joined.setdefault((vocab[a], vocab[b]), k << 24 | vocab[a + b])
+
+        # For whole batches: the same pairs in an open hash table, single bytes' ids, and each id as text and as bytes.
+        pairs = np.array([a << 32 | b for a, b in self.joined], np.int64)
+        self.slot, self.value = np.full(1 << SLOTS, -1, np.int64), np.full(1 << SLOTS, NONE, np.int64)
+        values = np.fromiter(self.joined.values(), np.int64, len(pairs))
+        at = slots(pairs)
+        while len(pairs):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = pairs[free]
+            mine = self.slot[at] == pairs
+            self.value[at[mine]] = values[mine]
+            pairs, values, at = pairs[~mine], values[~mine], (at[~mine] + 1) & MASK
+        self.single = np.array(self.of_byte, np.int64)
+        tokens = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
+        self.bytes = pa.array(tokens, pa.large_binary())
+        self.texts = pa.array([f"{i}," for i in range(len(tokens))], pa.large_string()).cast(pa.large_binary())
+
+    def ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """For each pair of ids what ``joined`` holds, or NONE."""
+        pairs = first << 32 | second
+        at = slots(pairs)
+        out = self.value[at]
+        held = self.slot[at]
+        open_ = np.flatnonzero((held != pairs) & (held >= 0))
+        out[held != pairs] = NONE
+        while len(open_):
+            at[open_] = (at[open_] + 1) & MASK
+            held = self.slot[at[open_]]
+            same = held == pairs[open_]
+            out[open_[same]] = self.value[at[open_[same]]]
+            open_ = open_[~same & (held >= 0)]
+        return out
+
+    def merge_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many pre-tokens (large strings, none empty) one after the other, and where each one's begin and end.
+
+        All words are merged together: in each round every word joins its best pair, the first if there are several.
+        """
+        offsets, data = raw(words)
+        sizes = np.diff(offsets)
+        ids = self.single[data[offsets[0] : offsets[-1]]]
+        word = np.repeat(np.arange(len(words)), sizes)
+        rank = np.full(len(ids), NONE, np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.ranks(ids[inner], ids[inner + 1])
+        done_word, done_ids = [], []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            sizes = np.diff(np.append(starts, len(ids)))
+            best = np.minimum.reduceat(rank, starts)
+            ended = best == NONE
+            if ended.any():
+                mask = np.repeat(ended, sizes)
+                done_word.append(word[mask])
+                done_ids.append(ids[mask])
+                ids, word, rank = ids[~mask], word[~mask], rank[~mask]
+                best, sizes = best[~ended], sizes[~ended]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
+            ids[at] = rank[at] & LOW
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # one id goes before each later place
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            left, right = at[(at > 0) & (word[at] == word[at - 1])], at + 1 < len(ids)
+            right[right] = word[at[right] + 1] == word[at[right]]
+            rank[at[~right]] = NONE
+            rank[at[right]] = self.ranks(ids[at[right]], ids[at[right] + 1])
+            rank[left - 1] = self.ranks(ids[left - 1], ids[left])
+        every, made = np.concatenate([np.zeros(0, np.int64), *done_word]), np.concatenate([np.zeros(0, np.int64), *done_ids])
+        order = np.argsort(every, kind="stable")
+        return made[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(words)))])
 
     def merge(self, word: bytes) -> list[int]:
         """A pre-token's ids."""
@@ -91,22 +176,22 @@ class Merges:
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same in n log n: a heap of pairs over a linked list."""
-        n, rank = len(ids), self.rank
+        n, joined = len(ids), self.joined
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*rank[p], i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rank]
+        heap = [(joined[p], i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in joined]
         heapq.heapify(heap)
         while heap:
-            _, made, i, a, b = heapq.heappop(heap)
+            made, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = made & LOW, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (p := (ids[x], ids[y])) in rank:
-                    heapq.heappush(heap, (*rank[p], x, *p))
+                if x >= 0 and y < n and (p := (ids[x], ids[y])) in joined:
+                    heapq.heappush(heap, (joined[p], x, *p))
         return [i for i in ids if i >= 0]
 
 
@@ -176,6 +261,11 @@ class Lexicon:
         self.labels = at
         self.final = at + n_arcs + -n_arcs % 4
         self.n_words = n_words
+        # The same arcs for many words at once: (state, label) in ascending order, numbers, targets; over the mapped file but for the first.
+        self.numbers, self.targets = np.asarray(self.number), np.asarray(self.target)
+        self.finals = np.frombuffer(self.map, np.uint8, self.n_states, self.final)
+        sizes = np.diff(np.asarray(self.first))
+        self.arcs = np.repeat(np.arange(self.n_states, dtype=np.int64), sizes) << 8 | np.frombuffer(self.map, np.uint8, n_arcs, self.labels)
 
     def ids(self, word: bytes) -> list[int] | None:
         """A word's ids, or None if the lexicon lacks it."""
@@ -191,39 +281,52 @@ class Lexicon:
             return None
         return self.id[self.offset[place] : self.offset[place + 1]].tolist()
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The places of many words (large strings) at once, -1 where the lexicon lacks them: all words step through the automaton together."""
+        offsets, data = raw(words)
+        start, left = offsets[:-1], np.diff(offsets)
+        out = np.full(len(words), -1, np.int64)
+        if not self.n_words:
+            return out
+        at = np.flatnonzero((left > 0) & (left <= LONGEST))
+        state, place = np.full(len(at), self.root, np.int64), np.zeros(len(at), np.int64)
+        step = 0
+        while len(at):
+            wanted = state << 8 | data[start[at] + step]
+            arc = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
+            on = self.arcs[arc] == wanted
+            at, arc = at[on], arc[on]
+            place, state = place[on] + self.numbers[arc], self.targets[arc].astype(np.int64)
+            step += 1
+            ended = left[at] == step
+            last = ended & (self.finals[state] != 0)
+            out[at[last]] = place[last]
+            at, state, place = at[~ended], state[~ended], place[~ended]
+        return out
+
+
+def raw(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of large strings or binaries."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return offsets, np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+
 
-class Coder(encoders.Vocabulary):
-    """Encodes and decodes, with a bounded memory of words (each with the space before it and all up to the next)."""
+class Coder:
+    """Encodes and decodes a batch of texts at a time, without a memory of words: a batch's size is all that bounds what it holds.
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 1_000_000):
+    A batch's distinct words (each with the space before it and all up to the next) go through the automaton together; those that it lacks
+    are merged together. Words with anything but Latin letters are split to pre-tokens first.
+    """
+
+    def __init__(self, merges: Merges, lexicon: Lexicon | None):
         self.merges, self.lexicon = merges, lexicon
-        self.found: dict[str, list[int]] = {}  # no more than the lexicon holds
-        super().__init__(most)
-
-    def forget(self) -> None:
-        super().forget()
-        self.texts, self.bytes, self.counts = pa.array([], pa.large_binary()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
-
-    def learn(self, new: pa.Array) -> None:
-        """Remembers what words encode to, as text with a comma after each id, and the bytes that these ids decode to."""
-        token = self.merges.token
-        made = [self.parts(w) for w in new.to_pylist()]
-        super().learn(new)
-        self.texts = pa.concat_arrays([self.texts, pa.array(["".join([f"{i}," for i in ids]).encode() for ids in made], pa.large_binary())])
-        self.bytes = pa.concat_arrays([self.bytes, pa.array([b"".join([token[i] for i in ids]) for ids in made], pa.large_binary())])
-        self.counts = np.concatenate([self.counts, np.fromiter(map(len, made), np.int64, len(made))])
 
     def pre_token(self, word: str) -> list[int]:
-        if word in self.found:
-            return self.found[word]
         data = word.encode()
         ids = self.lexicon.ids(data) if self.lexicon and len(data) <= LONGEST else None
-        if ids is None:
-            return self.merges.merge(data)
-        self.found[word] = ids
-        return ids
+        return self.merges.merge(data) if ids is None else ids
 
-    def parts(self, text: str) -> list[int]:
+    def ids(self, text: str) -> list[int]:
         out: list[int] = []
         for k, piece in enumerate(self.merges.split.split(text) if self.merges.split else [text]):
             if k % 2:
@@ -233,87 +336,119 @@ class Coder(encoders.Vocabulary):
                     out += self.pre_token(word)
         return out
 
-    def ids(self, text: str) -> list[int]:
-        return self.parts(text)
-
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.merges.token.__getitem__, ids)).decode("utf-8", "replace")
 
-    def digests(self, column: pa.Array) -> list[list]:
-        """For each text: how many ids, the SHA-256 of the ids joined by commas, and that of the text decoded from them."""
+    def unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after the other, and where each one's begin and end."""
+        known, known_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        place = np.full(len(units), -1, np.int64)
+        if self.lexicon and self.lexicon.n_words:
+            known, known_at = np.asarray(self.lexicon.id), np.asarray(self.lexicon.offset).astype(np.int64)
+            place = self.lexicon.places(units)
+        missed = np.flatnonzero(place < 0)
+        words = units.take(pa.array(missed))
+        plain = np.array(plain_words(words), dtype=bool)
+        made, made_at = self.merges.merge_all(words.filter(pa.array(plain)))
+        rest = [self.ids(w) for w in words.filter(pa.array(~plain)).to_pylist()]
+        rest_at = np.cumsum([0, *map(len, rest)])
+        first, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        at = 0
+        pools = []
+        for rows, pool, ends in ((np.flatnonzero(place >= 0), known, known_at), (missed[plain], made, made_at), (missed[~plain], np.array([i for r in rest for i in r], np.int32), rest_at)):
+            index = place[rows] if pool is known else np.arange(len(rows))
+            first[rows], size[rows] = at + ends[index], ends[index + 1] - ends[index]
+            at += len(pool)
+            pools.append(pool)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return np.concatenate(pools)[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each one's begin and end; null counts as empty."""
         column = encoders.whole(column)
         words, ends, odd = encoders.split_keeping(column)
-        at = self.numbers(words)
-        counts = np.concatenate([[0], np.cumsum(self.counts[at])])[ends]
-        numbers = pa.array(at)
-        texts, ends1 = joined(self.texts.take(numbers), ends)
-        data, ends2 = joined(self.bytes.take(numbers), ends)
-        out: list[list] = [np.diff(counts).tolist(), [], []]
-        for i in range(len(column)):
-            if odd[i]:
-                ids = self.parts(column[i].as_py())
-                out[0][i] = len(ids)
-                text, decoded = ",".join(map(str, ids)).encode(), self.decode(ids)
-            else:
-                text = texts[ends1[i] : max(ends1[i], ends1[i + 1] - 1)]
-                decoded = bytes(data[ends2[i] : ends2[i + 1]]).decode("utf-8", "replace")
+        coded = pc.dictionary_encode(words)
+        ids, at = self.unit_ids(coded.dictionary)
+        unit = coded.indices.to_numpy(zero_copy_only=False)
+        took = (at[1:] - at[:-1])[unit]
+        stops = np.concatenate([[0], np.cumsum(took)])
+        flat = ids[np.repeat(at[unit] - stops[:-1], took) + np.arange(stops[-1])]
+        ends = stops[ends]
+        if not odd.any():
+            return flat, ends
+        parts = [np.array(self.ids(column[i].as_py()), np.int32) if odd[i] else flat[ends[i] : ends[i + 1]] for i in range(len(column))]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def digests(self, column: pa.Array) -> list[list]:
+        """For each text: how many ids, the SHA-256 of the ids joined by commas, and that of the text decoded from them."""
+        flat, ends = self.batch(column)
+        numbers = pa.array(flat)
+        texts, ends1 = joined(self.merges.texts.take(numbers), ends)
+        data, ends2 = joined(self.merges.bytes.take(numbers), ends)
+        out: list[list] = [np.diff(ends).tolist(), [], []]
+        for i in range(len(ends) - 1):
+            text = texts[ends1[i] : max(ends1[i], ends1[i + 1] - 1)]
+            decoded = bytes(data[ends2[i] : ends2[i + 1]]).decode("utf-8", "replace")
             out[1].append(hashlib.sha256(text).hexdigest())
             out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-        if len(self.words) > self.most:  # a batch of so many different words isn't remembered
-            self.forget()
         return out
 
 
-def joined(parts: pa.Array, ends: np.ndarray) -> tuple[memoryview, list[int]]:
-    """The bytes of all parts one after the other, and where those of each text end."""
-    offsets = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
-    return memoryview(parts.buffers()[2] or b""), offsets[ends].tolist()
+def plain_words(units: pa.Array) -> pa.Array:
+    """Which are one pre-token for certain: short runs of Latin letters, with or without a space before."""
+    return pc.and_(pc.match_substring_regex(units, "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"), pc.less_equal(pc.binary_length(units), LONGEST))
 
 
-class Counts(encoders.Vocabulary):
-    """How often each word was seen."""
-
-    def forget(self) -> None:
-        super().forget()
-        self.n = np.zeros(0, np.int64)
-
-    def add(self, words: pa.Array) -> None:
-        at = self.numbers(words)
-        seen = np.bincount(at, minlength=len(self.words))
-        seen[: len(self.n)] += self.n
-        self.n = seen
+def joined(parts: pa.Array, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+    """The bytes of all parts one after the other, and where those of each text end."""
+    offsets, data = raw(parts)
+    return memoryview(data), offsets[ends].tolist()
 
 
 def count_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all texts, for words that can be in a lexicon; summed within a task before it is sent.
+    """(word, n) over all texts, for words that can be in a lexicon; summed within a task, COUNTED words at a time, before it is sent.
 
     The counts only decide what the lexicon holds, never what a text encodes to.
     """
 
-    def tally(seen: Counts) -> list:
+    def tally(seen: pa.Table) -> Iterator[list]:
+        seen = seen.combine_chunks()
+        plain = plain_words(seen["w"].combine_chunks())
+        kept, rest = seen.filter(plain), seen.filter(pc.invert(plain))
+        yield [kept["w"].combine_chunks(), kept["n_sum"].combine_chunks()]
         words: Counter = Counter()
-        for unit, n in zip(seen.words.to_pylist(), seen.n.tolist(), strict=True):
+        for unit, n in zip(rest["w"].to_pylist(), rest["n_sum"].to_pylist(), strict=True):
             for word in PRE_TOKEN.findall(unit):
                 if len(word) <= LONGEST:
                     words[word] += n
-        seen.forget()
-        return [list(words), list(words.values())]
+        yield [list(words), list(words.values())]
 
     def run(parts) -> Iterator[list]:
-        seen = Counts(1 << 62)
+        held: list[pa.Table] = []
+        size = 0
         for (column,) in parts:
             column = encoders.whole(column)
             words, _, odd = encoders.split_keeping(column)
-            seen.add(words)
-            if odd.any():
-                seen.add(encoders.split_dropping(column.filter(pa.array(odd)))[0])
-            if len(seen.words) > 400_000:
-                yield tally(seen)
-        yield tally(seen)
+            for some in [words, encoders.split_dropping(column.filter(pa.array(odd)))[0]] if odd.any() else [words]:
+                counts = pc.value_counts(some)
+                held.append(pa.table({"w": counts.field(0), "n_sum": counts.field(1)}))
+                size += len(counts)
+            if size > COUNTED:
+                held = [summed(held)]
+                size = len(held[0])
+                if size > COUNTED // 2:
+                    yield from tally(held[0])
+                    held, size = [], 0
+        if held:
+            yield from tally(summed(held))
 
     return common.emit(docs, "word string, n bigint", run, [text], rows=2048).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("w").aggregate([("n_sum", "sum")]).rename_columns(["w", "n_sum"])
+
+
 def compile_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text: str = "text") -> str:
     """Counts, compiles and hands out a lexicon; its file's name. At most ``words`` words come to the driver.
 
@@ -327,26 +462,49 @@ def compile_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text
         if held + n > words:
             break
         held, least = held + n, at
-    merges = Merges(path)
+    merges = merges_of(path)
     top = [] if least is None else counts.filter(step >= least).select("word").toArrow()["word"].to_pylist()
-    table = {w: merges.merge(w) for w in (word.encode() for word in top) if len(w) <= LONGEST}
+    # A word that is split further when it stands alone can't stand for one pre-token.
+    table = {w: merges.merge(w) for w in (word.encode() for word in top if PRE_TOKEN.findall(word) == [word]) if len(w) <= LONGEST}
     return common.put_file(docs.sparkSession, "lexicon", Lexicon.build(table))
 
 
+_merges: dict[str, Merges] = {}
+_coders: dict[tuple[str, str], Coder] = {}
+
+
+def merges_of(path: str) -> Merges:
+    """One for each worker process."""
+    if path not in _merges:
+        _merges[path] = Merges(path)
+    return _merges[path]
+
+
 def coder_for(path: str, name: str):
-    return lambda: Coder(Merges(path), Lexicon(SparkFiles.get(name)))
+    """A worker keeps the coder of one lexicon, from task to task."""
+
+    def made() -> Coder:
+        if (path, name) not in _coders:
+            _coders.clear()
+            _coders[path, name] = Coder(merges_of(path), Lexicon(SparkFiles.get(name)))
+        return _coders[path, name]
+
+    return made
 
 
 def encode(docs: DataFrame, path: str, lexicon: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows with ``ids`` appended."""
-    run = lambda coder, column: [[coder.ids(t) for t in common.texts(column)]]
+    def run(coder, column):
+        ids, ends = coder.batch(column)
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+
     return common.add_columns(docs, [T.StructField("ids", T.ArrayType(T.IntegerType()))], run, [text], coder_for(path, lexicon), keep)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Rows with ``decoded`` appended; null ids decode to the empty text."""
     run = lambda coder, column: [[coder.decode(i or []) for i in column.to_pylist()]]
-    return common.add_columns(rows, [T.StructField("decoded", T.StringType())], run, [ids], lambda: Coder(Merges(path), None), keep)
+    return common.add_columns(rows, [T.StructField("decoded", T.StringType())], run, [ids], lambda: Coder(merges_of(path), None), keep)
 
 
 def digests(docs: DataFrame, path: str, lexicon: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -40,6 +40,9 @@ def test_lexicon_holds_just_its_words_with_shared_suffixes(tmp_path):
     (tmp_path / "l").write_bytes(B.Lexicon.build(words))
     lexicon = B.Lexicon(str(tmp_path / "l"))
     assert all(lexicon.ids(w) == ids for w, ids in words.items())
+    every = [*words, b"", b"zz", b"a\xff", b"ab" * 40]
+    places = lexicon.places(pa.array([w.decode("latin-1") for w in every if max(w, default=0) < 128], pa.large_string()))
+    assert [lexicon.id[lexicon.offset[p] : lexicon.offset[p + 1]].tolist() if p >= 0 else None for p in places.tolist()] == [words.get(w) for w in every if max(w, default=0) < 128]
     assert all(lexicon.ids(x) is None for w in words for x in (w + b"z", w[:-1] + b"\xff", b"") if x not in words)
     # As many states as there are different sets of endings.
     tails = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for p in {w[:k] for w in words for k in range(len(w) + 1)}}
@@ -53,12 +56,21 @@ def test_long_and_short_merging_agree():
     for _ in range(200):
         word = "".join(rng.choice("aeinorstu ") for _ in range(rng.randint(2, 60))).encode()
         assert merges.merge(word) == merges._merge_long([merges.of_byte[b] for b in word])
+    words = [" thing", "a", "aaaaaaaaaaaa", "éèê", *("".join(rng.choice("aeinorstuéß") for _ in range(rng.randint(1, 40))) for _ in range(2000))]
+    ids, at = merges.merge_all(pa.array(words, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [merges.merge(w.encode()) for w in words]
+
+
+def test_repeated_rows_count_each(spark):
+    docs = spark.createDataFrame([(1, "same words again", "", 1)] * 5 + [(None, None, None, None)], SCHEMA)
+    got = B.digests(docs, PATH, B.compile_lexicon(docs, PATH)).groupBy("doc_id", "ids_sha256").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 5]
 
 
 def test_no_rows_and_little_memory(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert B.digests(none, PATH, B.compile_lexicon(none, PATH)).count() == 0
-    coder = B.Coder(B.Merges(PATH), None, most=3)
+    coder = B.Coder(B.Merges(PATH), None)
     for t in texts():
         assert coder.decode(coder.ids(t or "")) == (t or "")
         assert coder.digests(pa.array([t]))[0] == [len(coder.ids(t or ""))]
