@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 
 #: White space other than space, tab and line ends.
 ODD = r"[\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Letters and digits that stay one letter or digit each when a tokenizer normalises and lower-cases them: basic Latin, Latin but for
+#: U+0130, Greek, Cyrillic, and unified ideographs.
+STEADY = r"A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}\x{388}-\x{38a}\x{38e}-\x{3a1}\x{3a3}-\x{3f5}\x{3f7}-\x{3ff}\x{400}-\x{481}\x{48a}-\x{52f}\x{4e00}-\x{9fa5}"
 #: Pieces that are encoded in one go.
 TOGETHER = 200
 
@@ -35,9 +38,9 @@ def whole(column: pa.Array) -> pa.Array:
 def split_dropping(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts, and where each text's words end (after a leading 0), for tokenizers that drop white space.
 
-    Full stops and commas are words of their own in texts where letters or digits stand before all of them.
+    Full stops and commas are words of their own in texts where letters or digits that no normalisation takes apart stand before all of them.
     """
-    stops = pc.match_substring_regex(column, r"(^|[^\pL\pN])[.,]")
+    stops = pc.match_substring_regex(column, f"(^|[^{STEADY}])[.,]")
     split = pc.replace_substring(pc.replace_substring(column, ",", " ,"), ".", " .")
     parts = pc.ascii_split_whitespace(pc.if_else(stops, column, split))
     ends = parts.offsets.to_numpy()
@@ -52,7 +55,7 @@ def split_keeping(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """
     odd = pc.or_(pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, "\0")), pc.match_substring_regex(column, ODD))
     marked = pc.replace_substring(pc.if_else(odd, pa.scalar("", pa.large_string()), column), " ", "\0 ")
-    stops = pc.match_substring_regex(column, r"(^|[^\pL\pN])[.,]")
+    stops = pc.match_substring_regex(column, f"(^|[^{STEADY}])[.,]")
     split = pc.replace_substring(pc.replace_substring(marked, ",", "\0,"), ".", "\0.")
     parts = pc.split_pattern(pc.if_else(stops, marked, split), "\0")
     ends = parts.offsets.to_numpy()

@@ -30,6 +30,8 @@ from stranda.llm import common, encoders
 
 END_ID = 1
 WINDOW, LEAST, MOST, MASK_BITS = 8, 128, 2048, 9
+#: Documents in a run whose Merkle root is folded at once (a power of two, so the roots over runs are those over documents), and in a part.
+BLOCK, PART = 1 << 16, 1 << 20
 #: Words that an encoder remembers.
 WORDS = 1_200_000
 #: Odd multipliers of the rolling hash: powers of one number.
@@ -113,21 +115,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, drop
     from pyspark.sql import types as T
 
     light = staged.select("uid", "doc_id", "n_tokens", "digests")
-    ordered = light.repartitionByRange(F.col("doc_id").asc_nulls_first(), "uid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "uid")
+    # Parts grow in number with the documents, so none holds more than about PART of them.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-staged.count() // PART))
+    ordered = light.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "uid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "uid")
     numbered = ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("seq"), "doc_id", "n_tokens", "digests")
     common.add_columns(numbered, [T.StructField("root", T.BinaryType())], rooted, ["digests"]).write.parquet(f"{path}/recipes")
 
-    def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "n_docs": [len(rows)], "n_tokens": [rows["n_tokens"].sum()], "root": [merkle(list(rows["root"]))]})
-
     recipes = spark.read.parquet(f"{path}/recipes")
-    parts = recipes.select("part", "seq", "n_tokens", "root").groupBy("part").applyInPandas(summed, "part int, n_docs bigint, n_tokens bigint, root binary")
+    # Roots of aligned runs of BLOCK documents first, so a task gathers BLOCK rows at most, then the root over a part's runs.
+    blocks = folded(recipes.select("part", (F.col("seq") / BLOCK).cast("long").alias("block"), "seq", F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root"), ["part", "block"], "seq")
+    parts = folded(blocks, ["part"], "block")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each part
     parts.withColumn("start", F.coalesce(before, F.lit(0))).withColumn("id_bytes", F.lit(id_bytes)).coalesce(1).write.parquet(f"{path}/manifest")
     return path
 
 
+def folded(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, n_docs, n_tokens, root) of each group: sums, and the Merkle root over the roots in order."""
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "n_docs": [group["n_docs"].sum()], "n_tokens": [group["n_tokens"].sum()], "root": [merkle(list(group["root"]))]})
+
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(fold, f"{schema}, n_docs bigint, n_tokens bigint, root binary")
+
+
 def payload_ids(digest: bytes, payload: bytes, n_ids: int, id_bytes: int) -> np.ndarray:
     """A stored chunk's ids as unsigned 32-bit integers, once its payload is found to be what its digest says."""
     if hashlib.sha256(payload).digest() != bytes(digest) or len(payload) != n_ids * id_bytes:

@@ -17,7 +17,7 @@ def texts():
     rng = random.Random(6)
     words = "the of and a running tokens don't WE'LL naïve Straße 2024 ﬁ ümlaut <|endoftext|> x<|startoftext|>y #!? \x1c\x85 word word".split(" ")
     long = " ".join(rng.choice(words) for _ in range(5000))
-    return [None, "", " \n\t ", "Hello, World", "a b   c", "日本語 テキスト", "é ́x", "x" * 3000, long, long + " tail", "head " + long, long, "İstanbul ΣΑΣ"]
+    return [None, "", " \n\t ", "Hello, World", "a b   c", "日本語 テキスト", "é ́x", "x" * 3000, long, long + " tail", "head " + long, long, "İstanbul ΣΑΣ", "İ. İ,", "য়, ড়. क़.", "יִ, \u0344.x"]
 
 
 def expected(rows):
@@ -95,3 +95,27 @@ def test_crcs_join():
     rng = random.Random(1)
     parts = [rng.randbytes(rng.choice([0, 4, 400])) for _ in range(50)]
     assert encoders.join_crcs([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
+def test_stops_after_letters_that_normalisation_changes():
+    import unicodedata
+
+    changed = [c for c in map(chr, range(0x20, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and (unicodedata.normalize("NFC", c) != c or len(c.lower()) > 1 or unicodedata.combining(c))]
+    other = [chr(c) for c in [*range(0x20, 0x1000), *range(0x1000, 0xD800, 13)]]
+    pieces = [f"{c}. x{c}, a{c}b" for c in changed] + [f"{c}, {c}.y" for c in other]
+    t = Tokenizer.from_file(PATH)
+    coder = encoders.Encoder(PATH, True)
+    for k in range(0, len(pieces), 500):
+        got = coder.encode_column(pa.array(pieces[k : k + 500]))
+        assert [g.tolist() for g in got] == [e.ids for e in t.encode_batch(pieces[k : k + 500], add_special_tokens=False)]
+
+
+def test_roots_over_runs_are_those_over_all(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    docs = spark.createDataFrame([(i, f"t{i}", "", 1, 1) for i in range(37)], SCHEMA)
+    store = S.TokenStore(spark, S.write(docs, common.scratch(spark, "t"), PATH))
+    roots = {}
+    for r in store.recipes.orderBy("part", "seq").collect():
+        roots.setdefault(r.part, []).append(bytes(r.root))
+    got = {r.part: (bytes(r.root), r.n_docs) for r in store.manifest.collect()}
+    assert got == {p: (S.merkle(d), len(d)) for p, d in roots.items()} and sum(n for _, n in got.values()) == 37
