@@ -10,8 +10,8 @@ Trees are learned from a bounded sample of labelled rows, about ``sample_docs``
 enough to be broadcast; every row is scored, over its whole text.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, or if nothing could be learned; a null doc_id
-is neither held out nor learned from; repeated rows count each; tables without rows give tables without rows; other columns,
-whatever their names, pass through.
+is neither held out nor learned from; repeated rows count each; tables without rows give tables without rows; other columns
+pass through, but for one that has an appended column's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -254,7 +254,7 @@ def kept(docs: DataFrame, min_score: float = MIN_SCORE, text: str = "text", lang
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    found = predictions(docs, learn(docs), keep=["doc_id", "text"])
+    found = predictions(docs, learn(docs), keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
