@@ -2,12 +2,12 @@
 
 A document's tokens are cut at whole windows, each a sequence of its own. The remainders' lengths make a histogram (at most as many bins
 as a window has tokens, whatever the corpus). All combinations of two or three of these lengths that add up to a window are enumerated;
-repeat counts are solved against the histogram by non-negative least squares (coordinate descent), rounded, and clipped to what is there.
+repeat counts are solved against the histogram by non-negative least squares (projected gradient), rounded, and clipped to what is there.
 Residuals are packed greedily: first into combinations that still can be filled, then end to end, cut where a window ends, so only
 the very last sequence has padding.
 
-The plan is made from counts alone. Each document finds its place by its rank among remainders of its length: rank in its task, plus
-those of earlier tasks. No length, however common, is gathered in one task.
+The plan is made from counts alone. Each document finds its place by its rank among remainders of its length: its rank in the task that
+encoded it, plus those of earlier tasks, of which there is a small table. No length, however common, is gathered in one task.
 
 Defined results: a null or empty text is just the end id; repeated rows are documents of their own; a null doc_id is kept; tables
 without rows give no pieces.
@@ -15,6 +15,7 @@ without rows give no pieces.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from stranda.llm import common, encoders
 
 WINDOW, END_ID = 1024, 0
-SWEEPS = 8
+#: What the gradient of the least squares may be off by, relative to the largest count, and the most steps. Sums of whole repeats are off by as much anyway.
+TOLERANCE, MOST_STEPS = 1e-3, 50_000
 
 
 def combinations_filling(window: int, lengths: list[int]) -> list[tuple[int, ...]]:
@@ -46,24 +48,51 @@ def combinations_filling(window: int, lengths: list[int]) -> list[tuple[int, ...
     return out
 
 
-def solve(combos: list[tuple[int, ...]], counts: dict[int, int], sweeps: int = SWEEPS) -> list[float]:
-    """Repeat counts x >= 0 that minimise the squared differences between used and given counts."""
-    left = {k: float(n) for k, n in counts.items()}
-    x = [0.0] * len(combos)
-    norms = [sum(c.count(k) ** 2 for k in set(c)) for c in combos]
-    for _ in range(sweeps):
-        moved = 0.0
-        for i, combo in enumerate(combos):
-            step = sum(left[k] for k in combo) / norms[i]
-            step = max(step, -x[i])
-            if step:
-                x[i] += step
-                moved += abs(step)
-                for k in combo:
-                    left[k] -= step
-        if moved < 1e-3 * sum(counts.values()):
-            break
-    return x
+def solve(combos: list[tuple[int, ...]], counts: dict[int, int], tolerance: float = TOLERANCE) -> list[float]:
+    """Repeat counts x >= 0 that minimise the squared differences between used and given counts.
+
+    Projected gradient steps with momentum, begun anew where it overshoots, until the optimality conditions hold: no count's gradient is under
+    -``tolerance`` of the largest count, nor that of a count above zero over it.
+    """
+    if not combos:
+        return []
+    lengths = sorted(counts)
+    row = {k: i for i, k in enumerate(lengths)}
+    b = np.array([counts[k] for k in lengths], np.float64)
+    scale = b.max(initial=1.0) or 1.0
+    b = b / scale
+    place = np.array([[row[k] for k in c] + [len(b)] * (3 - len(c)) for c in combos])
+    flat = place.ravel()
+
+    def used(x):
+        return np.bincount(flat, np.repeat(x, 3), len(b) + 1)[:-1]
+
+    def gradient(x):
+        left = np.append(used(x) - b, 0.0)
+        return left[place].sum(axis=1)
+
+    # The largest eigenvalue of A'A, from a few power steps, with a margin.
+    v = np.ones(len(combos))
+    for _ in range(30):
+        w = np.append(used(v), 0.0)[place].sum(axis=1)
+        norm = float(np.linalg.norm(w)) / max(float(np.linalg.norm(v)), 1e-300)
+        v = w / max(float(np.linalg.norm(w)), 1e-300)
+    step = 1 / (1.05 * norm)
+    x = y = np.zeros(len(combos))
+    t = 1.0
+    for k in range(MOST_STEPS):
+        g = gradient(y)
+        new = np.maximum(y - step * g, 0.0)
+        if (y - new) @ (new - x) > 0:
+            t, y = 1.0, x
+            continue
+        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        x, y = new, new + (last - 1) / t * (new - x)
+        if k % 50 == 49:
+            g = gradient(x)
+            if max(-g.min(), np.abs(g[x > 0]).max(initial=0.0)) <= tolerance:
+                break
+    return (x * scale).tolist()
 
 
 @dataclass
@@ -119,25 +148,25 @@ class Plan:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int, text: str, doc_id: str) -> DataFrame:
-    """(uid, doc_id, doc_tokens, ids of each whole window, and the remainder's length and ids), written once; ids as little-endian words of 32 bits."""
+    """(task, doc_id, whole, earlier, rest, nth, ids), written once: whole windows and the remainder's length of each document, the whole windows
+    and the remainders of that length that came before it in its task, and its ids as little-endian words of 32 bits."""
 
     def run(parts) -> Iterator[list]:
         coder, end = encoders.encoder(tokenizer, False), np.array([end_id], "<u4").tobytes()
+        windows, seen = 0, np.zeros(window, np.int64)
         for ids, column in parts:
-            out = [ids, [], [], [], []]
+            out = [ids, [], [], [], [], []]
             for found in coder.encode_column(column):
-                data = found.tobytes() + end
-                n = len(data) // 4
-                whole = n // window
-                out[1].append(n)
-                out[2].append([data[4 * window * i : 4 * window * (i + 1)] for i in range(whole)])
-                out[3].append(n - whole * window)
-                out[4].append(data[4 * window * whole :])
+                whole, rest = divmod(len(found) + 1, window)
+                for target, value in zip(out[1:], (whole, windows, rest, int(seen[rest]), found.tobytes() + end), strict=True):
+                    target.append(value)
+                windows += whole
+                seen[rest] += 1
             yield out
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = common.emit(docs, f"doc_id {kind}, doc_tokens bigint, windows array<binary>, rest bigint, rest_ids binary", run, [doc_id, text], rows=2048)
-    return common.save(rows.withColumn("uid", F.monotonically_increasing_id()), "packing-tokens")
+    rows = common.emit(docs, f"doc_id {kind}, whole bigint, earlier bigint, rest bigint, nth bigint, ids binary", run, [doc_id, text], rows=2048)
+    return common.save(rows.withColumn("task", F.spark_partition_id()), "packing-tokens")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -145,53 +174,46 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     spark = docs.sparkSession
     rows = encoded(docs, tokenizer, end_id, window, text, doc_id)
     kind = docs.schema[doc_id].dataType.simpleString()
-    light = rows.select("uid", "doc_id", "doc_tokens", F.size("windows").cast("long").alias("whole"), "rest", F.shiftright("uid", 33).alias("task"))
     earlier = lambda *keys: Window.partitionBy(*keys).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
 
-    counts = {r.rest: r.n for r in light.filter("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(Plan.make(counts, window))
-    n_whole = light.agg(F.sum("whole")).first()[0] or 0
-
-    # Whole windows: numbered through, one row for each task in the sum over tasks.
-    by_task = light.groupBy("task").agg(F.sum("whole").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier()), F.lit(0))).select("task", "before")
-    in_task = Window.partitionBy("task").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = light.filter("whole > 0").select("uid", "task", F.coalesce(F.sum("whole").over(in_task), F.lit(0)).alias("run")).join(by_task, "task").select("uid", (F.col("before") + F.col("run")).alias("first"))
-    wholes = (
-        rows.filter(F.size("windows") > 0)
-        .select("uid", "doc_id", "doc_tokens", "windows")
-        .join(firsts, "uid")
-        .select("doc_id", "doc_tokens", "first", F.posexplode("windows").alias("k", "ids"))
-        .select("doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids", "doc_tokens", (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    )
-
-    # Remainders: the rank among those of the same length.
-    rests = light.filter("rest > 0")
-    sizes = rests.groupBy("rest", "task").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier("rest")), F.lit(0))).select("rest", "task", "before")
-    ranked = rests.withColumn("nth", F.row_number().over(Window.partitionBy("rest", "task").orderBy("uid"))).join(sizes, ["rest", "task"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    # How many remainders of each length, and whole windows, a task has: at most ``window`` rows a task.
+    sizes = common.save(rows.groupBy("rest", "task").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")), "packing-sizes")
+    totals = sizes.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole")).collect()
+    plan = spark.sparkContext.broadcast(Plan.make({r.rest: r.n for r in totals if r.rest}, window))
+    n_whole = sum(r.whole for r in totals)
+    by_task = sizes.groupBy("task").agg(F.sum("whole").alias("w")).withColumn("w_before", F.coalesce(F.sum("w").over(earlier()), F.lit(0))).select("task", "w_before")
+    before = sizes.select("rest", "task", F.coalesce(F.sum("n").over(earlier("rest")), F.lit(0)).alias("r_before")).join(by_task, "task")
+    numbered = rows.join(before, ["rest", "task"])
 
     def place(parts) -> Iterator[list]:
         where = plan.value
-        for uid, ids, sizes, whole, rest, rank in parts:
-            lengths, ranks = rest.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
-            sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-            for k in np.unique(lengths).tolist():
-                mine = np.flatnonzero(lengths == k)
-                sequence[mine], offset[mine] = where.place(k, ranks[mine])
-            first = np.minimum(lengths, window - offset)
-            cut = np.flatnonzero(first < lengths)
-            start = whole.to_numpy(zero_copy_only=False) * window
-            both = lambda a, b: pa.array(np.concatenate([a, b]))
-            take = pa.array(np.concatenate([np.arange(len(ranks)), cut]))
-            yield [uid.take(take), ids.take(take), both(start, start[cut] + first[cut]), both(first, (lengths - first)[cut]), sizes.take(take), both(sequence, sequence[cut] + 1), both(offset, np.zeros(len(cut), np.int64))]
-
-    schema = f"uid bigint, doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    placed = common.save(common.emit(ranked, schema, place, ["uid", "doc_id", "doc_tokens", "whole", "rest", "rank"]), "packing-places")
-
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    within = (F.col("start") % window * 4 + 1).cast("int")
-    rest = placed.join(rows.select("uid", "rest_ids"), "uid").withColumn("ids", F.substring("rest_ids", within, (F.col("length") * 4).cast("int")))
-    pieces = wholes.select(names).unionByName(rest.select(names).withColumn("sequence_id", F.col("sequence_id") + F.lit(n_whole)))
-    return pieces.select(*names[:4], F.crc32("ids").alias("ids_crc32"), *names[4:])
+        for column in parts:
+            names, (whole, first, rest, rank) = column[0], (c.to_numpy(zero_copy_only=False) for c in column[1:5])
+            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            for k in np.unique(rest[rest > 0]).tolist():
+                mine = np.flatnonzero(rest == k)
+                sequence[mine], offset[mine] = where.place(k, rank[mine])
+            out = [[] for _ in range(8)]
+            source = []
+            for i, data in enumerate(column[5].to_pylist()):
+                pieces = [(k * window, window, int(first[i]) + k, 0) for k in range(int(whole[i]))]
+                if rest[i]:
+                    start, length, at, off = int(whole[i]) * window, int(rest[i]), n_whole + int(sequence[i]), int(offset[i])
+                    head = min(length, window - off)
+                    pieces.append((start, head, at, off))
+                    if head < length:
+                        pieces.append((start + head, length - head, at + 1, 0))
+                for start, length, at, off in pieces:
+                    part = data[4 * start : 4 * (start + length)]
+                    for target, value in zip(out[1:], (start, length, part, zlib.crc32(part), len(data) // 4, at, off), strict=True):
+                        target.append(value)
+                source += [i] * len(pieces)
+            out[0] = names.take(pa.array(source, pa.int64()))
+            yield out
+
+    schema = f"doc_id {kind}, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+    inputs = numbered.select("doc_id", "whole", (F.col("w_before") + F.col("earlier")).alias("first"), "rest", (F.col("r_before") + F.col("nth")).alias("rank"), "ids")
+    return common.emit(inputs, schema, place, ["doc_id", "whole", "first", "rest", "rank", "ids"])
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
