@@ -1,7 +1,8 @@
 """URL filters: host and path rules, and a list of URLs behind a blocked Bloom filter.
 
 Listed URLs are brought to a canonical form: host in lower case without ``www.``, ``m.`` or ``blog.``, path without a trailing
-slash or a ``.html`` ending, no scheme, query or fragment. A page is looked up by its own canonical URL and by that of its site. The
+slash or a ``.html`` ending, no scheme, query or fragment. A page is looked up by its own canonical URL and by that of its site (other
+subdomains are sites of their own). The
 filter, of at most FILTER_BYTES whatever the list's length, has blocks of 256 bits: a key sets one bit in each of a block's eight
 words. Pages that the filter lets pass are settled; possible hits go on to an exact hash join with the list, which removes false positives.
 
@@ -9,7 +10,7 @@ A rule (host, path) fits its host and all subdomains if the page's path starts w
 wins and decides; without a rule a listed page is blocked and any other allowed.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed; repeated rows count each;
-tables without rows give tables without rows; other columns, whatever their names, pass through.
+tables without rows give tables without rows; other columns pass through, but for one that has an appended column's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ from stranda.llm import common
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Sites that the query's list holds.
-LISTED = [f"http://{site}.example.{end}/" for site in ("spam-farm", "cheap-pills", "casino-win", "free-bets") for end in ("com", "net", "org")]
+#: Whole sites that the query's list holds besides URLs found by their pages' text.
+SITES = [f"{site}.example.{end}" for site in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x") for end in ("com", "net", "org")]
+JUNK = r"[A-Za-z.,](?:###|\*\*\*|\$\$\$|%%%|&amp;&amp;&amp;)[ \n<]"
+#: Keys of a list that may be broadcast for the exact join: some 10 MB.
+SMALL_LIST = 100_000
 FILTER_BYTES = 64 << 20
 BITS_PER_KEY = 12
 WORDS = 8
@@ -100,9 +104,9 @@ def listed_keys(urls: DataFrame, url: str = "url") -> DataFrame:
     return urls.filter(F.col(url).contains("://")).select(canonical(host, path).alias("key")).filter("key <> ''").distinct()
 
 
-def build(keys: DataFrame, most_bytes: int = FILTER_BYTES) -> BlockedBloom:
+def build(keys: DataFrame, n_keys: int, most_bytes: int = FILTER_BYTES) -> BlockedBloom:
     """The filter of distinct keys: set in parts, blocks that parts share are joined by Spark; its size is bounded."""
-    made = BlockedBloom.sized(keys.count(), most_bytes)
+    made = BlockedBloom.sized(n_keys, most_bytes)
 
     def run(parts) -> Iterator[list]:
         for (hashes,) in parts:
@@ -117,33 +121,54 @@ def build(keys: DataFrame, most_bytes: int = FILTER_BYTES) -> BlockedBloom:
     return made
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", most_bytes: int = FILTER_BYTES) -> DataFrame:
-    """Rows with host, path, rule, verdict and listed appended; ``listed`` is a table of URLs."""
+ADDED = ("host", "path", "rule", "verdict", "listed")
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", most_bytes: int = FILTER_BYTES, small: int = SMALL_LIST) -> DataFrame:
+    """Rows with host, path, rule, verdict and listed appended (a column with one of these names is replaced); ``listed`` is a table of URLs."""
     keys = common.save(listed_keys(listed), "listed-urls")
-    bloom = pages.sparkSession.sparkContext.broadcast(build(keys, most_bytes))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
-    host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
-    rows = pages.select(*kept, host.alias("host"), path.alias("path"), fitting_rule(host, path, rules).alias("__rule"), canonical(host, path).alias("__own"), site(host).alias("__site"))
-    rows = rows.select("*", F.xxhash64("__own").alias("__own_hash"), F.xxhash64("__site").alias("__site_hash"))
-
-    def maybe(state, own, site_):
-        return [pa.array(bloom.value.might_contain(own.to_numpy(zero_copy_only=False)) | bloom.value.might_contain(site_.to_numpy(zero_copy_only=False)))]
-
-    rows = common.add_columns(rows, [T.StructField("__maybe", T.BooleanType())], maybe, ["__own_hash", "__site_hash"])
-    known = keys.select(F.col("key").alias("__key"), F.lit(True).alias("__hit"))
-    possible = rows.filter("__maybe").join(known, F.col("__own") == F.col("__key"), "left").drop("__key").withColumnRenamed("__hit", "__one")
-    possible = possible.join(known, F.col("__site") == F.col("__key"), "left").drop("__key")
-    settled = possible.withColumn("listed", F.coalesce("__one", "__hit", F.lit(False)))
-    passed = rows.filter(~F.col("__maybe")).withColumn("listed", F.lit(False))
-    both = settled.select(*kept, "host", "path", "__rule", "listed").unionByName(passed.select(*kept, "host", "path", "__rule", "listed"))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return both.select(*kept, "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "listed")
+    n_keys = keys.count()
+    bloom = pages.sparkSession.sparkContext.broadcast(build(keys, n_keys, most_bytes))
+    kept = [c for c in pages.columns if c not in ADDED]
+    # The rows' own columns travel as one, so no name of theirs can clash.
+    rows = pages.select(F.struct(F.lit(0).alias("n"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)] or [F.lit(0).alias("c0")]).alias("c")).alias("row"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    rows = rows.select("row", "host", "path", fitting_rule(F.col("host"), F.col("path"), rules).alias("fits"), canonical(F.col("host"), F.col("path")).alias("own"), site(F.col("host")).alias("site"))
+    rows = rows.select("*", F.xxhash64("own").alias("h1"), F.xxhash64("site").alias("h2"))
+
+    def maybe(state, *hashes):
+        return [pa.array(bloom.value.might_contain(h.to_numpy(zero_copy_only=False))) for h in hashes]
+
+    rows = common.add_columns(rows, [T.StructField("m1", T.BooleanType()), T.StructField("m2", T.BooleanType())], maybe, ["h1", "h2"], keep=["row", "host", "path", "fits", "own", "site"])
+
+    def settled(possible: DataFrame, known: DataFrame) -> DataFrame:
+        """With ``listed``, by an exact hash join; what the filter rules out has a null key."""
+        for flag, column, out in (("m1", "own", "l1"), ("m2", "site", "l2")):
+            possible = possible.join(known.toDF(f"k_{out}", out), F.when(F.col(flag), F.col(column)) == F.col(f"k_{out}"), "left")
+        return possible.select("row", "host", "path", "fits", F.coalesce("l1", "l2", F.lit(False)).alias("listed"))
+
+    known = keys.select("key", F.lit(True))
+    if n_keys <= small:
+        found = settled(rows, F.broadcast(known))
+    else:  # only possible hits are moved to a list that can't be broadcast
+        passed = rows.filter(~F.col("m1") & ~F.col("m2")).select("row", "host", "path", "fits", F.lit(False).alias("listed"))
+        found = settled(rows.filter(F.col("m1") | F.col("m2")), known).unionByName(passed)
+    verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
+    own = [F.col(f"row.c.c{k}").alias(c) for k, c in enumerate(kept)]
+    return found.select(*own, "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"), "listed")
+
+
+def junk_urls(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(url) of pages whose HTML has words with a run of symbols stuck to them: what the query lists, besides SITES.
+
+    The list holds canonical URLs, so it also stops other addresses of the same pages.
+    """
+    return pages.filter(F.col(html).rlike(JUNK)).select(url)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = common.table(spark, sf_dir, "pages", "page_id", "url")
-    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
-    return judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    pages = common.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    listed = junk_urls(pages).unionByName(spark.createDataFrame([(f"http://{site}/",) for site in SITES], "url string"))
+    return judge(pages.select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 SQL = r"""
@@ -151,18 +176,21 @@ WITH p AS (
   SELECT page_id,
          CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
          CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
-  FROM pages),
+         , html FROM pages),
+k AS (SELECT *, regexp_replace(host, '^(?:www\.|m\.|blog\.)+', '') || regexp_replace(path, '(?:\.html)?/*$', '') AS key FROM p),
+junk AS (SELECT DISTINCT key FROM k WHERE regexp_matches(html, '[A-Za-z.,](?:###|\*\*\*|\$\$\$|%%%|&amp;&amp;&amp;)[ \n<]')),
 r AS (
   SELECT *, CASE
     WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
     WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
     WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule
-  FROM p)
+  FROM k)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
        WHEN rule IS NOT NULL THEN 'block'
-       WHEN regexp_matches(host, '^(www\.|m\.|blog\.)*(spam-farm|cheap-pills|casino-win|free-bets)\.example\.(com|net|org)$') THEN 'block'
+       WHEN regexp_matches(host, '^(www\.|m\.|blog\.)*(spam-farm|cheap-pills|casino-win|free-bets|ads-track|adult-x)\.example\.(com|net|org)$') THEN 'block'
+       WHEN key <> '' AND key IN (SELECT key FROM junk) THEN 'block'
        ELSE 'allow' END AS verdict
 FROM r
 """

@@ -53,10 +53,10 @@ def plain(url, listed):
 
 
 def test_matches_plain_rules(spark):
-    listed = [(u,) for u in [*U.LISTED, "https://listed.test/a/b", None, "", "nonsense"]]
+    listed = [(u,) for u in [*[f"http://{site}/" for site in U.SITES], "https://listed.test/a/b", None, "", "nonsense"]]
     pages = spark.createDataFrame([(i, u, "<p>", 7, "clash", 0.5) for i, u in enumerate(URLS)], SCHEMA)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge(pages, spark.createDataFrame(listed, "url string")).collect()}
-    keys = {f"{s}.example.{e}" for s in ("spam-farm", "cheap-pills", "casino-win", "free-bets") for e in ("com", "net", "org")} | {"listed.test/a/b"}
+    keys = set(U.SITES) | {"listed.test/a/b"}
     assert [got[i] for i in range(len(URLS))] == [plain(u, keys) for u in URLS]
 
 
@@ -64,8 +64,22 @@ def test_full_filter_still_gives_exact_verdicts(spark):
     """A filter of one block for thousands of keys lets everything pass; the join settles it."""
     listed = spark.range(3000).selectExpr("concat('http://bad', id, '.test/') AS url")
     pages = spark.range(6000).selectExpr("id AS page_id", "concat('http://bad', id, '.test/x') AS url")
-    got = U.judge(pages, listed, most_bytes=32).groupBy("verdict").count().collect()
-    assert {r.verdict: r["count"] for r in got} == {"block": 3000, "allow": 3000}
+    for small in (U.SMALL_LIST, 0):
+        got = U.judge(pages, listed, most_bytes=32, small=small).groupBy("verdict").count().collect()
+        assert {r.verdict: r["count"] for r in got} == {"block": 3000, "allow": 3000}
+
+
+def test_other_columns_pass_through_whatever_their_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", 1.5, "o", "r", 3, 9)], "page_id bigint, url string, `x.y` double, own string, row string, l1 int, host int")
+    r = U.judge(pages, spark.createDataFrame([("http://a.org/x/",)], "url string")).collect()[0]
+    assert r.asDict() == {"page_id": 1, "url": "http://a.org/x", "x.y": 1.5, "own": "o", "row": "r", "l1": 3, "host": "a.org", "path": "/x", "rule": None, "verdict": "block", "listed": True}
+
+
+def test_list_from_junk_pages_stops_their_other_addresses(spark):
+    pages = spark.createDataFrame([("http://www.a.org/x.html", "<p>buy%%% now&amp;&amp;&amp; ok</p>"), ("http://a.org/y", "<p>100%</p>"), (None, "x$$$ "), ("http://b.org/", None)], "url string, html string")
+    assert {r.url for r in U.junk_urls(pages).collect()} == {"http://www.a.org/x.html", None}
+    got = U.judge(spark.createDataFrame([("https://m.a.org/x?s=1",), ("http://a.org/y",)], "url string"), U.junk_urls(pages)).collect()
+    assert {r.url: r.verdict for r in got} == {"https://m.a.org/x?s=1": "block", "http://a.org/y": "allow"}
 
 
 def test_filter_holds_what_was_added_and_little_else():
@@ -78,7 +92,7 @@ def test_filter_holds_what_was_added_and_little_else():
 
 def test_filter_built_in_parts_is_the_same(spark):
     keys = spark.range(500).selectExpr("concat('k', id) AS key").repartition(7)
-    made = U.build(keys)
+    made = U.build(keys, 500)
     hashes = np.array([r.h for r in keys.selectExpr("xxhash64(key) AS h").collect()])
     whole = U.BlockedBloom.sized(500)
     whole.add(hashes)
