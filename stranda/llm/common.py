@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import shutil
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +22,21 @@ SLICE_BYTES = 32 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; in a folder of the local file system it goes when the driver ends."""
+    """A path in the shared folder that nothing else uses; what is written there goes when the driver ends, in whatever store it is."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if path.startswith(("/", "file:/")):
         atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    else:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
     return path
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    path = f"{scratch(df.sparkSession, name)}/rows"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,7 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
-    """Stores a small file in the shared folder and has Spark hand it to each executor; the name for ``SparkFiles.get``.
+    """Stores a small file in the shared folder and has Spark hand it to each executor; the name for ``SparkFiles.get``."""
+    return put_parts(spark, name, [data])
+
+
+def put_parts(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
+    """The same for a file given part by part.
 
     Executors started later fetch it too. The bytes go through Hadoop's file system, so the folder may be in any store.
     """
@@ -52,9 +62,11 @@ def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     path = jvm.org.apache.hadoop.fs.Path(uri)
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
     out = fs.create(path, True)
+    fs.deleteOnExit(path)
     try:
-        for at in range(0, len(data), 1 << 20):
-            out.write(bytearray(data[at : at + (1 << 20)]))
+        for data in parts:
+            for at in range(0, len(data), 1 << 20):
+                out.write(bytearray(data[at : at + (1 << 20)]))
     finally:
         out.close()
     sc.addFile(path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
@@ -78,8 +90,9 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., li
     """
     names = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in_{k}") for k, c in enumerate(inputs)])
-    schema = T.StructType([*(source.schema[c] for c in kept), *fields])
+    # Plain names on the way, as Spark takes a dot in a column's name here for a field of a struct.
+    source = df.select(*[F.col(f"`{c}`").alias(f"__k_{k}") for k, c in enumerate(kept)], *[F.col(f"`{c}`").alias(f"__in_{k}") for k, c in enumerate(inputs)])
+    schema = T.StructType([*(source.schema[f"__k_{k}"] for k in range(len(kept))), *fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     added = list(to_arrow_schema(T.StructType(fields)))
@@ -99,7 +112,7 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., li
         del state
         release()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *(f.name for f in fields))
 
 
 def emit(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[list[pa.Array]]], Iterator[list]], inputs: list[str], rows: int = SLICE) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A line's key is the line stripped of ASCII white space and lower-cased in A-Z; it is counted by its 128-bit digest. The reference
 table holds, for each key, in how many documents it stands; the cuckoo filters hold the keys that stand in ``min_docs`` documents or
-more, and take insertions and deletions. Applying the state, a line is looked up in its shard's filter, and what may be there is
-settled by the exact table, so no line is lost to a false positive. Deleting documents lowers the counts, so lines come back:
-the dedup is reversible.
+more, and take insertions and deletions. Applying the state, every line is looked up in its shard's filter, however large the state: the filters are
+files that Spark hands to each executor and that workers memory-map. What may be there is settled by the exact table, so no line is lost to a
+false positive: by a broadcast of its frequent keys where they are EXACT_BYTES at most, else by a join with those lines that the filters let
+through. Deleting documents lowers the counts, so lines come back: the dedup is reversible. Shards grow in number with the frequent keys.
 
 Defined results: a null or empty text has one empty line; empty keys (under ``min_chars`` code points) always stay; repeated rows
-count once for each row; tables without rows give tables without rows; other columns, whatever their names, pass through.
+count once for each row; documents deleted before they are inserted leave negative counts, which their insertion makes up for; tables without
+rows give tables without rows; other columns pass through, but for one that has an appended column's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +31,10 @@ from pyspark.sql import types as T
 from stranda.llm import common
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Keys in a shard, about; a shard's filter and table are made in one task.
-SHARD_KEYS = 500_000
-#: Bytes of filters and exact keys that may be broadcast; beyond, keys are joined.
-BROADCAST_BYTES = 48 << 20
+#: Frequent keys in a shard at most, about; a shard's filter is made in one task. Shards are a power of two.
+SHARD_KEYS = 250_000
+#: Bytes of exact keys that may be broadcast; beyond, what the filters let through is joined with the exact table.
+EXACT_BYTES = 16 << 20
 SLOTS, KICKS = 4, 500
 
 REFS = "key binary, n_docs bigint"
@@ -159,11 +163,11 @@ def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
 class LineDedup:
     """State of an incremental line dedup: exact reference counts and filters, both written in the shared folder."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES):
-        self.spark, self.min_docs, self.min_chars, self.broadcast_bytes = spark, min_docs, min_chars, broadcast_bytes
+    def __init__(self, spark: SparkSession, min_docs: int = 10, min_chars: int = 1, exact_bytes: int = EXACT_BYTES, shard_keys: int = SHARD_KEYS):
+        self.spark, self.min_docs, self.min_chars, self.exact_bytes, self.shard_keys = spark, min_docs, min_chars, exact_bytes, shard_keys
         self.refs = spark.createDataFrame([], REFS)
         self.filters = spark.createDataFrame([], FILTERS)
-        self.shards = 0
+        self.shards, self.n_hot = 1, 0
 
     def insert(self, docs: DataFrame, text: str = "text") -> LineDedup:
         return self._change(count_lines(docs, self.min_chars, text), 1)
@@ -173,40 +177,48 @@ class LineDedup:
         return self._change(count_lines(docs, self.min_chars, text), -1)
 
     def _change(self, delta: DataFrame, sign: int) -> LineDedup:
-        least = self.min_docs
-        if not self.shards:
-            changed = common.save(delta.select("key", F.lit(0).cast("long").alias("old"), (F.col("n_docs") * sign).alias("new")), "line-changes")
-            self.shards = max(1, -(-changed.count() // SHARD_KEYS))
+        least, zero = self.min_docs, F.lit(0).cast("long")
+        if self.refs.isEmpty():
+            changed = delta.select("key", zero.alias("old"), (F.col("n_docs") * sign).alias("new"))
         else:
             changed = (
-                self.refs.select("key", F.col("n_docs").alias("old"), F.lit(0).cast("long").alias("d"))
-                .unionByName(delta.select("key", F.lit(0).cast("long").alias("old"), (F.col("n_docs") * sign).alias("d")))
+                self.refs.select("key", F.col("n_docs").alias("old"), zero.alias("d"))
+                .unionByName(delta.select("key", zero.alias("old"), (F.col("n_docs") * sign).alias("d")))
                 .groupBy("key")
                 .agg(F.sum("old").alias("old"), (F.sum("old") + F.sum("d")).alias("new"))
             )
-            changed = common.save(changed, "line-changes")
-        refs = changed.filter("new > 0").select("key", F.col("new").alias("n_docs"))
-        crossing = changed.filter((F.col("old") >= least) != (F.col("new") >= least)).select(shard_of(F.col("key"), self.shards).alias("shard"), "key", (F.col("new") >= least).alias("up"))
-        hot = refs.filter(F.col("n_docs") >= least).select(shard_of(F.col("key"), self.shards).alias("shard"), "key")
+        changed = common.save(changed, "line-changes")
+        self.refs = changed.filter("new <> 0").select("key", F.col("new").alias("n_docs"))
+        self.n_hot = self.hot().count()
+        shards = 1
+        while shards * self.shard_keys < self.n_hot:
+            shards *= 2
+        grown, self.shards = shards > self.shards, max(shards, self.shards)
+        shard = shard_of(F.col("key"), self.shards).alias("shard")
+        none = F.lit(None).cast("long").alias("buckets")
         # What each shard needs: its filter, the keys that crossed the threshold, and, for a rebuild, all its keys.
-        parts = (
-            crossing.select("shard", "key", F.when(F.col("up"), 1).otherwise(2).alias("kind"), F.lit(None).cast("long").alias("buckets"))
-            .unionByName(hot.select("shard", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("buckets")))
-            .unionByName(self.filters.select("shard", F.col("cells").alias("key"), F.lit(3).alias("kind"), "buckets"))
-        )
+        parts = self.hot().select(shard, "key", F.lit(0).alias("kind"), none)
+        if not grown:  # else all filters are made anew
+            crossing = changed.filter((F.col("old") >= least) != (F.col("new") >= least))
+            parts = parts.unionByName(crossing.select(shard, "key", F.when(F.col("new") >= least, 1).otherwise(2).alias("kind"), none)).unionByName(
+                self.filters.select("shard", F.col("cells").alias("key"), F.lit(3).alias("kind"), "buckets")
+            )
         self.filters = common.save(parts.groupBy("shard").applyInPandas(update_filter, FILTERS), "line-filters")
-        self.refs = refs
         return self
 
     def hot(self) -> DataFrame:
         """The keys whose lines go."""
         return self.refs.filter(F.col("n_docs") >= self.min_docs).select("key")
 
-    def _filters(self):
-        """The filters, if they and the exact keys are small enough to be broadcast."""
-        n = self.hot().count()
-        size = self.filters.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0))).first()[0]
-        return n * 16, size
+    def _filter_file(self) -> str:
+        """All shards' filters in one file that Spark hands out; the driver holds one shard's at a time. Its name.
+
+        The file begins with the number of shards and each one's buckets (none: no key).
+        """
+        sizes = {r.shard: r.buckets for r in self.filters.select("shard", "buckets").collect()}
+        head = np.array([self.shards, *(sizes.get(k, 0) for k in range(self.shards))], np.int64).tobytes()
+        cells = (bytes(r.cells) for r in self.filters.orderBy("shard").select("cells").toLocalIterator())
+        return common.put_parts(self.spark, "line-filters", chain([head], cells))
 
     def dropped_lines(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Every row with its kept text and line counts appended: kept_text, n_lines, n_dropped."""
@@ -219,60 +231,84 @@ class LineDedup:
         return self._applied(docs, fields, kept_digest, text)
 
     def _applied(self, docs: DataFrame, fields, shape, text: str) -> DataFrame:
-        exact, approx = self._filters()
-        least, shards = self.min_chars, self.shards
-        if exact + approx > self.broadcast_bytes:
-            return self._joined(docs, fields, shape, text)
-        cells = {r.shard: (r.buckets, bytes(r.cells)) for r in self.filters.collect()}
-        keys = b"".join(bytes(r.key) for r in self.hot().collect())
-        shared = self.spark.sparkContext.broadcast((cells, keys))
+        least, name = self.min_chars, self._filter_file()
+        if self.n_hot * 16 > self.exact_bytes:
+            return self._joined(docs, fields, shape, text, name)
+        shared = self.spark.sparkContext.broadcast(b"".join(self.hot().toArrow()["key"].to_pylist()))
 
         def setup():
-            cells, keys = shared.value
-            return {k: CuckooFilter.load(*v) for k, v in cells.items()}, {keys[i : i + 16] for i in range(0, len(keys), 16)}
+            data = shared.value
+            return Filters(SparkFiles.get(name)), frozenset(data[i : i + 16] for i in range(0, len(data), 16))
 
         def run(state, column):
             filters, exact = state
-            return shape(column, [hits(d, filters, exact, shards) for d in (digests(t, least) for t in common.utf8(column))])
+            return shape(column, [[d in exact for d in found] for found in filters.passed([digests(t, least) for t in common.utf8(column)])])
 
         return common.add_columns(docs, fields, run, [text], setup)
 
-    def _joined(self, docs: DataFrame, fields, shape, text: str) -> DataFrame:
-        """For states too large to broadcast: documents' keys are joined with the exact table; skewed keys are split by AQE."""
+    def _joined(self, docs: DataFrame, fields, shape, text: str, name: str) -> DataFrame:
+        """For more exact keys than may be broadcast: lines that the filters let through are joined with the exact table; skewed keys are split by AQE."""
         least = self.min_chars
-        uid = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
 
-        def keys_of(parts):
-            for ids, column in parts:
-                pairs = [(i, d) for i, t in zip(ids.to_pylist(), common.utf8(column), strict=True) for d in {d for d in digests(t, least) if d}]
+        def keys_of(filters, parts):
+            for (column,) in parts:
+                texts = common.utf8(column)
+                pairs = [(text_id(t), d) for t, found in zip(texts, filters.passed([digests(t, least) for t in texts]), strict=True) for d in {d for d in found if d}]
                 yield [[p[0] for p in pairs], [p[1] for p in pairs]]
 
-        named = docs.withColumn("__uid", uid)
-        keys = common.emit(named, "uid string, key binary", keys_of, ["__uid", text])
+        keys = common.emit(docs, "uid binary, key binary", lambda parts: keys_of(Filters(SparkFiles.get(name)), parts), [text])
         # Equal texts share an id, so the set of a text's keys is bounded by its lines.
-        found = keys.join(self.hot(), "key", "left_semi").groupBy("uid").agg(F.collect_set("key").alias("__gone"))
-        both = named.join(found.withColumnRenamed("uid", "__uid"), "__uid", "left")
+        found = keys.join(self.hot(), "key", "left_semi").groupBy("uid").agg(F.collect_set("key").alias("gone"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+        rows = common.add_columns(rows, [T.StructField("uid", T.BinaryType())], lambda _, column: [[text_id(t) for t in common.utf8(column)]], ["text"], keep=["row", "text"])
+        both = rows.join(found, "uid", "left")
 
         def run(state, column, gone):
             sets = [set(g) if g else frozenset() for g in gone.to_pylist()]
             return shape(column, [[d in s for d in digests(t, least)] for t, s in zip(common.utf8(column), sets, strict=True)])
 
-        return common.add_columns(both, fields, run, [text, "__gone"], keep=docs.columns)
-
-
-def hits(found: list[bytes | None], filters: dict[int, CuckooFilter], exact: set[bytes], shards: int) -> list[bool]:
-    """For each line, whether it goes: the filter of its shard first, then the exact keys."""
-    out = [False] * len(found)
-    if not exact or not (places := [i for i, d in enumerate(found) if d]):
+        names = {f.name for f in fields}
+        made = common.add_columns(both, fields, run, ["text", "gone"], keep=["row"])
+        return made.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names], *names_of(fields))
+
+
+def names_of(fields: list[T.StructField]) -> list[str]:
+    return [f.name for f in fields]
+
+
+def text_id(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(text)
+
+
+class Filters:
+    """The filters of all shards, memory-mapped from their file."""
+
+    def __init__(self, path: str):
+        data = np.memmap(path, np.uint8, "r")
+        self.shards = int(data[:8].view(np.int64)[0])
+        sizes = data[8 : 8 + 8 * self.shards].view(np.int64).tolist()
+        at = 8 + 8 * self.shards
+        self.filters: list[CuckooFilter | None] = []
+        for buckets in sizes:
+            size = 2 * SLOTS * buckets
+            self.filters.append(CuckooFilter(buckets, data[at : at + size].view(np.uint16).reshape(buckets, SLOTS)) if buckets else None)
+            at += size
+
+    def passed(self, texts: list[list[bytes | None]]) -> list[list[bytes | None]]:
+        """The digests that their shard's filter may hold; None for all others."""
+        out = [[None] * len(found) for found in texts]
+        places = [(i, j) for i, found in enumerate(texts) for j, d in enumerate(found) if d]
+        if not places:
+            return out
+        keys = as_array([texts[i][j] for i, j in places])
+        of = shards_of(keys, self.shards)
+        for shard in np.unique(of).tolist() if self.shards > 1 else [0]:
+            if self.filters[shard] is not None:
+                mine = np.flatnonzero(of == shard)
+                for k in mine[self.filters[shard].might_contain(keys[mine])].tolist():
+                    i, j = places[k]
+                    out[i][j] = texts[i][j]
         return out
-    keys = as_array([found[i] for i in places])
-    of = shards_of(keys, shards) if shards > 1 else np.zeros(len(keys), np.int64)
-    for shard in np.unique(of).tolist():
-        if shard in filters:
-            mine = np.flatnonzero(of == shard)
-            for k in mine[filters[shard].might_contain(keys[mine])].tolist():
-                out[places[k]] = found[places[k]] in exact
-    return out
 
 
 def update_filter(rows: pd.DataFrame) -> pd.DataFrame:
@@ -310,9 +346,9 @@ def kept_digest(column: pa.Array, gone: list[list[bool]]) -> list:
 def deduplicated(docs: DataFrame, min_docs: int = 10, text: str = "text") -> DataFrame:
     """All rows, with frequent lines taken out of their texts; ``n_chars``, if there, becomes the new length. A null text stays null."""
     state = LineDedup(docs.sparkSession, min_docs).insert(docs, text)
-    rows = state.dropped_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__text")), "__text")
-    new = F.when(F.col("__text").isNull(), None).otherwise(F.col("kept_text"))
-    out = {c: F.col(f"__row.`{c}`") for c in docs.columns} | {text: new}
+    rows = state.dropped_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text")))
+    new = F.when(F.col("text").isNull(), None).otherwise(F.col("kept_text"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: new}
     if "n_chars" in out:
         out["n_chars"] = F.when(F.col("n_dropped") > 0, F.length(new)).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[v.alias(c) for c, v in out.items()])

@@ -25,10 +25,10 @@ def brute(texts, least):
 TEXTS = [None, "", "\n", " A b \nx", "a B\ny\n\n", "a b", "Ä\na b\t", "ä", "a b\na b\nz", "x\n" * 3, "long " * 50_000 + "\na b", "ä"]
 
 
-@pytest.mark.parametrize("limit", [L.BROADCAST_BYTES, -1])
-def test_matches_brute_force_broadcast_and_joined(spark, limit):
+@pytest.mark.parametrize("limit, shard_keys", [(L.EXACT_BYTES, L.SHARD_KEYS), (-1, L.SHARD_KEYS), (-1, 1), (L.EXACT_BYTES, 1)])
+def test_matches_brute_force_broadcast_and_joined(spark, limit, shard_keys):
     docs = spark.createDataFrame([(i, t, "clash", 7) for i, t in enumerate(TEXTS)], SCHEMA)
-    state = L.LineDedup(spark, min_docs=3, broadcast_bytes=limit).insert(docs)
+    state = L.LineDedup(spark, min_docs=3, exact_bytes=limit, shard_keys=shard_keys).insert(docs)
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in state.digests(docs).collect()}
     assert [got[i] for i in range(len(TEXTS))] == brute(TEXTS, 3)
 
@@ -41,6 +41,32 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert L.LineDedup(spark).insert(none).digests(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [L.EXACT_BYTES, -1])
+def test_other_columns_pass_through_whatever_their_names(spark, limit):
+    docs = spark.createDataFrame([(i, "a\nb", "mine", 1.5, "row") for i in range(3)], "doc_id bigint, text string, __uid string, `x.y` double, uid string")
+    state = L.LineDedup(spark, min_docs=3, exact_bytes=limit).insert(docs)
+    for r in state.dropped_lines(docs).collect():
+        assert (r["text"], r["__uid"], r["x.y"], r["uid"], r["kept_text"]) == ("a\nb", "mine", 1.5, "row", "")
+
+
+def test_shards_grow_with_the_state(spark):
+    frame = lambda ids: spark.createDataFrame([(i, f"line {i // 2}") for i in ids], "doc_id bigint, text string")
+    state = L.LineDedup(spark, min_docs=2, shard_keys=8).insert(frame([]))
+    state.insert(frame(range(4)))
+    assert state.shards == 1
+    state.insert(frame(range(4, 200)))
+    assert state.shards == 16 and state.filters.count() == 16
+    assert {r.kept_text for r in state.dropped_lines(frame(range(200))).collect()} == {""}
+    state.delete(frame(range(0, 200, 2)))
+    assert "" not in {r.kept_text for r in state.dropped_lines(frame(range(200))).collect()}
+
+
+def test_deletion_before_insertion_is_made_up_for(spark):
+    frame = lambda n: spark.createDataFrame([(i, "a") for i in range(n)], "doc_id bigint, text string")
+    state = L.LineDedup(spark, min_docs=3).delete(frame(2)).insert(frame(4))
+    assert [r.n_docs for r in state.refs.collect()] == [2] and state.n_hot == 0
+
+
 def test_deleting_documents_brings_lines_back(spark):
     frame = lambda ids: spark.createDataFrame([(i, f"shared\nown {i}") for i in ids], "doc_id bigint, text string")
     state = L.LineDedup(spark, min_docs=4).insert(frame(range(3)))
