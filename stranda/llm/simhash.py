@@ -5,7 +5,8 @@ fingerprints that differ in at most 3 bits share at least 5 of their 8 positiona
 under sets of four positional bytes: 14 sets such that any three differing bytes miss at least one of them, so each pair that can
 reach 5 shared bytes meets under some set. For pairs that meet, the shared positional bytes are tallied, pairs under the guaranteed minimum
 are dropped, and the rest verified bit by bit. A posting list gives a spanning forest of its links, never all pairs, and lists
-longer than LONG are posted again under a fifth byte, where at most 2**24 fingerprints can differ.
+longer than LONG are posted again under a fifth byte, where at most 2**24 fingerprints can differ, and split by shared runs of bits while they
+are longer still, so what is tallied is always a short list.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; fewer words than a shingle make one shingle;
 repeated rows and ties fall in one component, named by its smallest doc_id (nulls never name one, unless all are null); tables
@@ -15,7 +16,6 @@ without rows give tables without rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from stranda.llm import common
 
 BITS, SEED = 3, 42
-#: A posting list of more fingerprints is posted again under a fifth byte; of those, lists over PROBE are probed, not compared.
-LONG, PROBE = 20_000, 6_000
+#: A posting list of more fingerprints is posted again under a fifth byte, and, if it still is longer, under runs of its bits within its task.
+LONG = 12_000
 
 
 def covering() -> list[tuple[int, ...]]:
@@ -110,6 +110,12 @@ def fifth_byte(posts: DataFrame) -> DataFrame:
     return common.emit(posts, "key bigint, fp bigint", run, ["key", "fp"])
 
 
+def free_bits(plain: np.ndarray) -> list[int]:
+    """Bits in which some of these fingerprints differ."""
+    every = int(np.bitwise_or.reduce(plain) ^ np.bitwise_and.reduce(plain)) if len(plain) else 0
+    return [k for k in range(64) if every >> k & 1]
+
+
 def forest(values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints: (fingerprint, smallest of its component here) pairs."""
     values = np.unique(values)
@@ -128,29 +134,25 @@ def forest(values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
             if a != b:
                 parent[max(a, b)] = min(a, b)
 
-    if n <= PROBE:
-        data, plain = pos_bytes(values), values.view(np.uint64)
-        for i in range(n - 1):
-            # The tally of shared positional bytes, then the exact check for pairs that reach the minimum.
-            near = np.flatnonzero((data[i + 1 :] == data[i]).sum(axis=1) >= 8 - bits) + i + 1
-            near = near[np.bitwise_count(plain[near] ^ plain[i]) <= bits]
-            if len(near):
-                roots = np.unique(parent[near])
-                union(i, roots)
-    else:
-        free = [b for b in range(64) if len(np.unique(values >> np.int64(b) & 1)) > 1]
-        for k in range(1, bits + 1):
-            for pick in combinations(free, k):
-                mask = 0
-                for b in pick:
-                    mask |= 1 << b
-                other = values ^ np.int64(signed(mask))
-                at = np.minimum(np.searchsorted(values, other), n - 1)
-                ok = np.flatnonzero((values[at] == other) & (at > np.arange(n)))
-                for i, j in zip(ok.tolist(), at[ok].tolist(), strict=True):
-                    a, b = find(i), find(j)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
+    data, plain = pos_bytes(values), values.view(np.uint64)
+    open_ = [(np.arange(n), free_bits(plain))]
+    while open_:
+        rows, free = open_.pop()
+        if len(rows) <= LONG:
+            for k, i in enumerate(rows[:-1].tolist()):
+                # The tally of shared positional bytes, then the exact check for pairs that reach the minimum.
+                near = rows[k + 1 :][(data[rows[k + 1 :]] == data[i]).sum(axis=1) >= 8 - bits]
+                near = near[np.bitwise_count(plain[near] ^ plain[i]) <= bits]
+                if len(near):
+                    union(i, np.unique(parent[near]))
+            continue
+        # Too many to compare: of bits + 1 runs of the bits that differ at all, a pair has one in common; each is a shorter list.
+        for run in np.array_split(np.array(free), bits + 1):
+            mask = np.uint64(sum(1 << int(k) for k in run))
+            order = rows[np.argsort(plain[rows] & mask, kind="stable")]
+            for some in np.split(order, np.flatnonzero(np.diff(plain[order] & mask)) + 1):
+                if len(some) > 1:
+                    open_.append((np.sort(some), [k for k in free if not int(mask) >> k & 1]))
     roots = np.array([find(i) for i in range(n)], dtype=np.int64) if n else np.zeros(0, np.int64)
     mine = np.flatnonzero(roots != np.arange(n))
     return values[mine], values[roots[mine]]

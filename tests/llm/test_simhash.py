@@ -65,9 +65,9 @@ def test_chains_and_clusters_of_fingerprints(spark):
     assert [roots.get(S.signed(f), S.signed(f)) for f in fps] == [S.signed(fps[w]) for w in want]
 
 
-@pytest.mark.parametrize("probe", [10_000, 0])
-def test_forest_compared_and_probed_alike(monkeypatch, probe):
-    monkeypatch.setattr(S, "PROBE", probe)
+@pytest.mark.parametrize("long", [10_000, 40, 7])
+def test_forest_of_short_and_split_lists_alike(monkeypatch, long):
+    monkeypatch.setattr(S, "LONG", long)
     rng = random.Random(2)
     fps = sorted({rng.getrandbits(12) for _ in range(300)})
     a, b = S.forest(np.array(fps, dtype=np.int64))
@@ -85,6 +85,23 @@ def test_long_lists_are_posted_again(spark, monkeypatch):
     assert [roots.get(f, f) for f in fps] == [fps[w] for w in brute(fps)]
 
 
+def test_a_list_over_its_real_limit():
+    """More fingerprints than a list may hold, in pairs that differ in one or two bits, and singles."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(23) & ~3 for _ in range(9000)]
+    fps = sorted({f << 1 for f in base} | {f << 1 | 2 for f in base})
+    assert len(fps) > S.LONG
+    a, _ = S.forest(np.array(fps, dtype=np.int64))
+    linked = set(a.tolist())
+    assert all(((f << 1) in linked) or ((f << 1 | 2) in linked) for f in base)
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 977}" for i in range(400_000))
+    rows = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id bigint, text string")
+    assert [r.component_id for r in S.near_duplicates(rows).collect()] == [1, 1]
+
+
 def test_no_rows_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert S.near_duplicates(none).count() == 0
