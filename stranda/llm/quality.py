@@ -1,30 +1,33 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model, with an upper and a lower band for each language.
 
-Words are runs of anything but ASCII white space. The model is over symbols: each word is lower-cased, its characters fall in
-64 classes, and start and end are marked; contexts of up to three symbols don't cross a word's start. Spark counts the symbol
-4-grams of all documents by language, so a language has at most 64**4 keys of 24 bits, whatever the corpus: that bounds what a model
-holds (12 bytes a key, 200 MB at the very most, under 2 MB for alphabets seen so far). Modified Kneser-Ney probabilities and back-off
-weights are stored in arrays sorted by key, one file for each language, and memory-mapped by the scorers.
+Words are runs of anything but ASCII white space. The model is over the characters of a text's words, lower-cased, with one space between words;
+its 5-grams reach over words, so it sees which words follow each other, and every code point is a symbol of its own. Spark counts the 5-grams
+of all documents by language; shorter grams count the different grams that they end. Modified Kneser-Ney weights are kept in one array for all
+languages, sorted by a 64-bit hash of language, order and gram (with 2**32 keys, one lookup in four thousand million is wrong): it grows with
+the corpus, is written in parts, handed out by Spark and memory-mapped by the scorers. 5-grams seen under LEAST times are left out of
+it (their weight goes to shorter grams), which is what keeps it small on large corpora; that is the one pruning, and a parameter.
 
 A document fails the base rules with under ``min_words`` words, or if words in repeated 3-word windows make up over
-``max_repeat`` percent. Otherwise its log perplexity must lie within its language's band: median plus and minus ``width`` robust
+``max_repeat`` percent. Otherwise its log perplexity, of a word, must lie within its language's band: median plus and minus ``width`` robust
 standard deviations (1.4826 times the median absolute deviation, at least ``floor``) over all documents of the language that pass
-the base rules.
+the base rules and have MIN_WORDS words (over those with fewer, if none has). A mean over few words strays further, so for a text under REFERENCE
+words the band is wider by the square root of what it lacks.
 
 Defined results: a null or empty text has no words and fails; a null language is a language of its own; repeated rows count each;
-tables without rows give tables without rows; other columns, whatever their names, pass through.
+tables without rows give tables without rows; other columns pass through, but for one that has an appended column's name, which is replaced.
+The driver holds one row for each language (its band).
 """
 
 from __future__ import annotations
 
-import io
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, count, repeat
+from itertools import chain, count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,235 +39,229 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Robust standard deviations to either side, and the least that counts as one, in nats of log perplexity.
-WIDTH, FLOOR = 5.5, 0.02
+WIDTH, FLOOR = 3.5, 0.1
+#: Words from which on a band has its plain width.
+REFERENCE = 200
 #: Steps of the histogram of log perplexities from which medians are read.
-STEP = 1 / 512
+STEP = 1 / 256
 
-ORDER, SHIFT = 4, 6
-BOS, EOS = 1, 2
-MASKS = [0, (1 << 6) - 1, (1 << 12) - 1, (1 << 18) - 1, (1 << 24) - 1]
+ORDER = 5
+#: 5-grams seen less often are left to shorter grams.
+LEAST = 2
+#: Different 5-grams that a task sums before it sends them, and characters that are scored at once.
+HELD, CHARS = 400_000, 2_000_000
+BASE_OF_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 BASE = [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("base_failed", T.BooleanType())]
 SCORE = [T.StructField("log_perplexity", T.DoubleType())]
+GRAM, CONTEXT, UNSEEN = 0, 1, 2
 
 
-def symbol_class(c: str) -> int:
-    """A character's class: a to z, digits, punctuation, and 32 classes into which all others fall by code point."""
-    if "a" <= c <= "z":
-        return 3 + ord(c) - 97
-    if c.isdigit():
-        return 29
-    if ord(c) < 128:
-        return 30 if c in ".,;:!?'\"-()" else 31
-    return 32 + ord(c) % 32
+def normal(words: list[str]) -> str:
+    """What is modelled of a text: spaces as the context of its first characters, then its words."""
+    return " " * (ORDER - 1) + " ".join(words).lower()
 
 
-def class_table() -> np.ndarray:
-    """Classes by code point."""
-    table = (32 + np.arange(0x110000) % 32).astype(np.uint8)
-    for k in range(0x3000):
-        table[k] = symbol_class(chr(k))
-    digits = [k for k in range(0x3000, 0x20000) if chr(k).isdigit()]
-    table[digits] = 29
-    return table
+def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of normalised texts, the places of all characters but the leading spaces, and how many of these each text has."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - (ORDER - 1)
+    starts = np.cumsum(sizes + ORDER - 1) - sizes
+    return points, np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), sizes
 
 
-_table: list[np.ndarray] = []
+def rolled(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each place's 5-gram, for telling grams of one batch apart."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(ORDER - 1, -1, -1):
+        out *= BASE_OF_HASH
+        out += points[at - k]
+    return out
 
 
-def word_symbols(word: str) -> list[int]:
-    return [BOS, *map(symbol_class, word.lower()), EOS]
+def different(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different 5-grams as rows of code points, and which one stands at each place."""
+    codes, found = pd.factorize(rolled(points, at))
+    first = np.empty(len(found), np.int64)
+    first[codes[::-1]] = at[::-1]
+    return points[first[:, None] + np.arange(1 - ORDER, 1)], codes
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of each word but the first, itself and up to three before it, as a key of 24 bits; and how many each word has."""
-    if not _table:
-        _table.append(class_table())
-    # Line feeds, which no word holds, stand for the end of one word and the start of the next.
-    points = np.frombuffer(("\n" + "\n".join(words) + "\n").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    edge = points == 10
-    now = _table[0][points].astype(np.int64)
-    before = np.where(edge, BOS, now)
-    now[edge] = EOS
-    key = now[1:] | before[:-1] << SHIFT
-    open_ = ~edge[:-1]  # the symbol before isn't a start
-    for k in (2, 3):
-        key[k - 1 :] |= np.where(open_[k - 1 :], before[: -k], 0) << SHIFT * k
-        if k == 2:
-            open_ = open_ & np.concatenate([[False], ~edge[:-2]])
-    return key, np.diff(np.flatnonzero(edge))
+def as_strings(grams: np.ndarray) -> list[str]:
+    width = grams.shape[1]
+    text = np.ascontiguousarray(grams, np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[i : i + width] for i in range(0, len(text), width)]
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, key, n) over all words of all documents; summed within a task before it is sent."""
-
-    def tally(words: dict[str, Counter]) -> list:
-        out = [[], [], []]
-        for code, counts in words.items():
-            if counts:
-                keys, sizes = grams(list(counts))
-                keys, at = np.unique(keys, return_inverse=True)
-                out[0] += repeat(code, len(keys))
-                out[1] += keys.tolist()
-                out[2] += np.bincount(at, np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), sizes)).astype(np.int64).tolist()
-        words.clear()
-        return out
+    """(lang, gram, n) over all documents; summed within a task before it is sent."""
 
     def run(parts: Iterator[list[pa.Array]]) -> Iterator[list]:
-        words: dict[str, Counter] = {}
+        held: dict[str, list] = {}
+
+        def summed(code: str) -> None:
+            grams = np.concatenate([g for g, _ in held[code]])
+            n = np.concatenate([n for _, n in held[code]])
+            different_, at = different(grams.ravel(), np.arange(len(grams)) * ORDER + ORDER - 1)
+            held[code] = [(different_, np.bincount(at, n).astype(np.int64))]
+
+        def sent() -> Iterator[list]:
+            for code in held:
+                summed(code)
+                grams, n = held[code][0]
+                yield [[code] * len(n), as_strings(grams), n]
+            held.clear()
+
+        size = 0
         for langs, column in parts:
+            by: dict[str, list[str]] = {}
             for code, t in zip(langs.to_pylist(), common.texts(column), strict=True):
-                words.setdefault(code or "", Counter()).update(WORD.findall(t))
-            if sum(map(len, words.values())) > 200_000:
-                yield tally(words)
-        yield tally(words)
-
-    return common.emit(docs, "lang string, key bigint, n bigint", run, [lang, text]).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """The discounts of counts 1, 2 and 3 or more (at 0: none)."""
-    n = [0, *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
-    out = [0.0, 0.5, 1.0, 1.5]
-    if n[1] and n[2]:
-        y = n[1] / (n[1] + 2 * n[2])
-        for k in (1, 2, 3):
-            if n[k]:
-                out[k] = k - (k + 1) * y * n[k + 1] / n[k]
-    return np.clip(out, [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
-
-
-def fit(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Log probabilities and back-off weights of one language from its 4-gram counts (shorter grams only at a word's start)."""
-    starts = {k: (keys >> SHIFT * (k - 1) > 0) & (keys >> SHIFT * k == 0) for k in range(1, ORDER + 1)}
-    levels = {ORDER: (keys[starts[ORDER]], counts[starts[ORDER]].astype(np.float64))}
+                if words := WORD.findall(t):
+                    by.setdefault(code or "", []).append(normal(words))
+            for code, texts in by.items():
+                points, at, _ = stream(texts)
+                grams, codes = different(points, at)
+                held.setdefault(code, []).append((grams, np.bincount(codes, minlength=len(grams))))
+                size += len(grams)
+            if size > HELD:
+                for code in held:
+                    summed(code)
+                size = sum(len(n) for parts_ in held.values() for _, n in parts_)
+                if size > HELD // 2:
+                    yield from sent()
+                    size = 0
+        yield from sent()
+
+    rows = common.emit(docs, "lang string, gram string, n bigint", run, [lang, text], rows=2048)
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def weights(counts: DataFrame, least: int = LEAST) -> DataFrame:
+    """(kind, lang, level, gram, a, b) of the model: for grams a = discounted count; for contexts a = their total, b = the weight of shorter
+    grams; and for each language, under UNSEEN, the probability of a character never seen."""
+    level = counts.select("lang", F.lit(ORDER).alias("level"), "gram", F.col("n").alias("a"))
+    grams = level
     for k in range(ORDER - 1, 0, -1):
-        cont, n = np.unique(levels[k + 1][0] & MASKS[k], return_counts=True)
-        own = starts[k] if k > 1 else np.zeros(len(keys), bool)
-        levels[k] = np.concatenate([cont, keys[own]]), np.concatenate([n.astype(np.float64), counts[own]])
-    model, below = {}, None
-    for k in range(1, ORDER + 1):
-        order = np.argsort(levels[k][0])
-        key, a = levels[k][0][order], levels[k][1][order]
-        d = discounts(a)
-        cut = d[np.minimum(a, 3).astype(int)]
-        context, at = np.unique(key >> SHIFT, return_inverse=True)
-        total = np.bincount(at, a, len(context))
-        gamma = np.bincount(at, cut, len(context)) / np.maximum(total, 1)
-        if k == 1:
-            vocabulary = len(key) + 1
-            p = (a - cut) / max(total.sum(), 1) + (gamma[0] if len(gamma) else 1.0) / vocabulary
-            model["unseen"] = np.array([np.log((gamma[0] if len(gamma) else 1.0) / vocabulary)])
-        else:
-            p = (a - cut) / total[at] + gamma[at] * below[1][np.searchsorted(below[0], key & MASKS[k - 1])]
-        model[f"key{k}"], model[f"logp{k}"] = key.astype(np.uint32), np.log(p).astype(np.float32)
-        model[f"context{k}"], model[f"backoff{k}"] = context.astype(np.uint32), np.log(np.maximum(gamma, 1e-12)).astype(np.float32)
-        below = key, p
-    return model
-
-
-NAMES = [f"{name}{k}" for k in range(1, ORDER + 1) for name in ("key", "logp", "context", "backoff")]
-
-
-def dump(model: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    head = [len(model[n]) for n in NAMES]
-    out.write(np.array([*head, 0], np.int64).tobytes() + model["unseen"].astype(np.float64).tobytes())
-    for n in NAMES:
-        out.write(model[n].tobytes())
-    return out.getvalue()
-
-
-def load(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a model's file, memory-mapped."""
-    data = np.memmap(path, np.uint8, "r")
-    head = data[: 8 * (len(NAMES) + 1)].view(np.int64)
-    at = 8 * (len(NAMES) + 2)
-    model = {"unseen": np.array(data[at - 8 : at].view(np.float64))}
-    for n, size in zip(NAMES, head.tolist(), strict=False):
-        model[n] = data[at : at + 4 * size].view(np.float32 if n[0] in "lb" else np.uint32)
-        at += 4 * size
-    return model
-
-
-def log_probs(model: dict[str, np.ndarray], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, the sum of its symbols' log probabilities, and its symbols."""
-    if not words:
-        return np.zeros(0), np.zeros(0, np.int64)
-    every, sizes = grams(words)
-    key, place = np.unique(every, return_inverse=True)
-    total = np.zeros(len(key))
-    open_ = np.arange(len(key))
-    for k in range(ORDER, 0, -1):
-        # Keys of fewer symbols than k belong to a word's start; they join in at their own length.
-        mine = open_[key[open_] >> SHIFT * (k - 1) > 0] if k > 1 else open_
-        now = (key[mine] & MASKS[k]).astype(np.uint32)
-        level = model[f"key{k}"]
-        at = np.minimum(np.searchsorted(level, now), max(len(level) - 1, 0))
-        found = level[at] == now if len(level) else np.zeros(len(now), bool)
-        total[mine[found]] += model[f"logp{k}"][at[found]] if len(level) else 0
-        missed = mine[~found]
-        if k > 1:
-            context = (key[missed] & MASKS[k]).astype(np.uint32) >> SHIFT
-            table = model[f"context{k}"]
-            if len(table):
-                at = np.minimum(np.searchsorted(table, context), len(table) - 1)
-                known = table[at] == context
-                total[missed[known]] += model[f"backoff{k}"][at[known]]
-            done = np.zeros(len(key), bool)
-            done[mine[found]] = True
-            open_ = open_[~done[open_]]
-        else:
-            total[missed] += model["unseen"][0]
-    return np.add.reduceat(total[place], np.cumsum(sizes) - sizes), sizes
-
-
-class Scorer:
-    """One language's model with a bounded memory of words."""
-
-    def __init__(self, model: dict[str, np.ndarray], most: int = 300_000):
-        self.model, self.most = model, most
-        self.at: dict[str, int] = {}
-        self.sums, self.sizes = np.zeros(most + 1), np.zeros(most + 1)
-
-    def score(self, words: list[str]) -> float:
-        """Log perplexity of a text's words."""
-        return self.scores([words])[0]
-
-    def scores(self, texts: list[list[str]]) -> list[float]:
-        """Log perplexities of texts with words, some at once."""
-        out, at, size = [], 0, 0
+        level = level.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("a")).select("lang", F.lit(k).alias("level"), "gram", "a")
+        level = common.save(level, "grams")
+        grams = grams.unionByName(level)
+    n1, n2, n3, n4 = (F.count_if(F.col("a") == k).cast("double") for k in (1, 2, 3, 4))
+    seen = grams.groupBy("lang", "level").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"), F.count("*").alias("kinds"))
+    y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
+    cut = [F.least(F.greatest(F.coalesce(F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")), F.lit(k / 2)), F.lit(0.05)), F.lit(float(k))) for k in (1, 2, 3)]
+    cuts = common.save(seen.select("lang", "level", *[c.alias(f"d{k + 1}") for k, c in enumerate(cut)], "kinds"), "discounts")
+    kept = (F.col("level") < ORDER) | (F.col("a") >= least)
+    contexts = grams.groupBy("lang", "level", F.expr("substring(gram, 1, level - 1)").alias("gram")).agg(
+        F.sum("a").cast("double").alias("total"),
+        F.coalesce(F.sum(F.when(kept, F.col("a"))), F.lit(0)).cast("double").alias("held"),
+        *[F.count_if(kept & (F.col("a") == k if k < 3 else F.col("a") >= 3)).alias(f"k{k}") for k in (1, 2, 3)],
+    )
+    contexts = contexts.join(cuts, ["lang", "level"])
+    rest = 1 - (F.col("held") - F.col("d1") * F.col("k1") - F.col("d2") * F.col("k2") - F.col("d3") * F.col("k3")) / F.col("total")
+    contexts = contexts.select("lang", "level", "gram", "total", rest.alias("rest"), "kinds")
+    cut_of = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
+    own = grams.filter(kept).join(cuts, ["lang", "level"]).select(F.lit(GRAM).alias("kind"), "lang", "level", "gram", (F.col("a") - cut_of).cast("float").alias("a"), F.lit(0.0).cast("float").alias("b"))
+    longer = contexts.filter((F.col("level") < ORDER) | (F.col("rest") < 1)).select(F.lit(CONTEXT).alias("kind"), "lang", "level", "gram", F.col("total").cast("float").alias("a"), F.col("rest").cast("float").alias("b"))
+    unseen = contexts.filter("level = 1").select(F.lit(UNSEEN).alias("kind"), "lang", "level", "gram", (1 / (F.col("kinds") + 1)).cast("float").alias("a"), F.lit(0.0).cast("float").alias("b"))
+    return own.unionByName(longer).unionByName(unseen)
+
+
+def keys_of(kind: int, level: int, lang: str, grams: np.ndarray) -> np.ndarray:
+    """64-bit keys of grams, rows of code points, within the one table."""
+    seed = np.uint64(xxhash.xxh64_intdigest(f"{kind} {level} {lang}".encode()))
+    out = np.full(len(grams), seed)
+    for k in range(grams.shape[1]):
+        out = (out ^ grams[:, k].astype(np.uint64)) * BASE_OF_HASH
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def write_model(rows: DataFrame) -> str:
+    """Sorts the weights by key and hands them out as one file; its name. The driver holds one part of them at a time."""
+    spark = rows.sparkSession
+
+    def keyed(parts):
+        for kinds, langs, levels, grams, a, b in parts:
+            frame = pd.DataFrame({"kind": kinds.to_pylist(), "lang": langs.to_pylist(), "level": levels.to_pylist(), "gram": grams.to_pylist()})
+            key = np.zeros(len(frame), np.uint64)
+            for (kind, lang, level), group in frame.groupby(["kind", "lang", "level"]):
+                texts = group["gram"].tolist()
+                points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), -1) if texts[0] else np.zeros((len(texts), 0), np.uint32)
+                key[group.index.to_numpy()] = keys_of(kind, level, lang, points)
+            # As signed numbers in the order of the unsigned ones.
+            yield [(key ^ np.uint64(1 << 63)).view(np.int64), a, b]
+
+    def packed(parts):
+        for key, a, b in parts:
+            values = key.to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)
+            yield [[len(key)], [values.tobytes()], [a.to_numpy(zero_copy_only=False).astype(np.float32).tobytes()], [b.to_numpy(zero_copy_only=False).astype(np.float32).tobytes()]]
+
+    table = common.emit(rows, "key bigint, a float, b float", keyed, ["kind", "lang", "level", "gram", "a", "b"], rows=1 << 16)
+    table = common.emit(table.repartitionByRange("key").sortWithinPartitions("key"), "n bigint, keys binary, a binary, b binary", packed, ["key", "a", "b"], rows=1 << 16)
+    table = common.save(table.select(F.monotonically_increasing_id().alias("at"), "*"), "perplexity-model")
+    n = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    columns = ((bytes(r[0]) for r in table.orderBy("at").select(c).toLocalIterator()) for c in ("keys", "a", "b"))
+    return common.put_parts(spark, "perplexity", chain([np.int64(n).tobytes()], *columns))
+
+
+class Model:
+    """The weights of all languages, memory-mapped."""
+
+    def __init__(self, path: str):
+        data = np.memmap(path, np.uint8, "r")
+        n = int(data[:8].view(np.int64)[0])
+        self.keys, self.a, self.b = data[8 : 8 + 8 * n].view(np.uint64), data[8 + 8 * n : 8 + 12 * n].view(np.float32), data[8 + 12 * n : 8 + 16 * n].view(np.float32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and whether they are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        order = np.argsort(keys)
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def log_probs(self, lang: str, grams: np.ndarray) -> np.ndarray:
+        """The log probability of each 5-gram's last character after the four before it."""
+        at, known = self.find(keys_of(UNSEEN, 1, lang, grams[:1, :0]))
+        p = np.full(len(grams), float(self.a[at[0]]) if known[0] else 1e-6)
+        for k in range(1, ORDER + 1):
+            own, there = self.find(keys_of(GRAM, k, lang, grams[:, ORDER - k :]))
+            if k == 1:
+                above, known = self.find(keys_of(CONTEXT, 1, lang, grams[:1, :0]))
+                above, known = np.repeat(above, len(grams)), np.repeat(known, len(grams))
+            else:
+                above, known = self.find(keys_of(CONTEXT, k, lang, grams[:, ORDER - k : ORDER - 1]))
+            mass = np.where(there, self.a[own], 0) / np.where(known, self.a[above], 1)
+            p = np.where(known, mass + np.where(known, self.b[above], 1) * p, p)
+        return np.log(p)
+
+    def scores(self, lang: str, texts: list[list[str]]) -> list[float]:
+        """Log perplexities (of a word) of texts, each a list of words and none empty."""
+        out: list[float] = []
+        some: list[str] = []
+        size = 0
         for k, words in enumerate(texts):
-            size += len(words)
-            if size > 200_000 or k == len(texts) - 1:
-                out += self._some(texts[at : k + 1])
-                at, size = k + 1, 0
+            some.append(normal(words))
+            size += len(some[-1])
+            if size > CHARS or k == len(texts) - 1:
+                points, at, sizes = stream(some)
+                grams, codes = different(points, at)
+                logs = self.log_probs(lang, grams)[codes]
+                out += (-np.add.reduceat(logs, np.cumsum(sizes) - sizes) / np.array([len(w) for w in texts[len(out) : k + 1]])).tolist()
+                some, size = [], 0
         return out
 
-    def _some(self, texts: list[list[str]]) -> list[float]:
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        words = list(chain.from_iterable(texts))
-        rows = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        missed = np.flatnonzero(rows < 0)
-        if len(missed):
-            new = list({words[i] for i in missed.tolist()})
-            if len(self.at) + len(new) > self.most:
-                self.at.clear()
-                new = list(set(words))
-                if len(new) > self.most:  # so many different words at once are scored by themselves
-                    return [self._alone(t) for t in texts]
-            start = len(self.at)
-            self.at.update(zip(new, range(start, start + len(new)), strict=True))
-            self.sums[start : start + len(new)], self.sizes[start : start + len(new)] = log_probs(self.model, new)
-            rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        starts = np.cumsum(lengths) - lengths
-        return (-np.add.reduceat(self.sums[rows], starts) / np.add.reduceat(self.sizes[rows], starts)).tolist()
-
-    def _alone(self, words: list[str]) -> float:
-        counts = Counter(words)
-        n = np.fromiter(counts.values(), np.int64, len(counts))
-        sums, sizes = log_probs(self.model, list(counts))
-        return -float(sums @ n) / float(sizes @ n)
+
+_models: dict[str, Model] = {}
+
+
+def model_of(name: str) -> Model:
+    """A worker keeps the last model that it mapped."""
+    if name not in _models:
+        _models.clear()
+        _models[name] = Model(SparkFiles.get(name))
+    return _models[name]
 
 
 def repeated_words(words: list[str]) -> int:
@@ -296,65 +293,60 @@ def base_rules(text: str, words: list[str], min_words: int = MIN_WORDS, max_repe
 
 
 class QualityModel:
-    """Models and bands by language."""
+    """The model's file, and bands by language."""
 
-    def __init__(self, spark: SparkSession, files: dict[str, str], bands: DataFrame | None = None):
-        self.spark, self.files, self.bands = spark, files, bands
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.bands: dict[str, tuple[float, float]] = {}
 
     @classmethod
-    def train(cls, docs: DataFrame, text: str = "text", lang: str = "lang") -> QualityModel:
-        spark = docs.sparkSession
+    def train(cls, docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> QualityModel:
         counts = common.save(count_grams(docs, text, lang), "gram-counts")
-        files = {}
-        for code in [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]:
-            got = counts.filter(F.col("lang") == code).select("key", "n").toArrow()
-            files[code] = common.put_file(spark, "grams", dump(fit(got["key"].to_numpy(), got["n"].to_numpy())))
-        return cls(spark, files)
+        return cls(docs.sparkSession, write_model(common.save(weights(counts, least), "gram-weights")))
 
     def scored(self, docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
         """Rows with the base rules' columns and log_perplexity appended (null for texts without words)."""
-        files = self.files
+        name = self.name
 
-        def run(scorers, langs, column):
+        def run(model, langs, column):
             whole = common.texts(column)
             words = [WORD.findall(t) for t in whole]
             scores: list[float | None] = [None] * len(whole)
             by: dict[str, list[int]] = {}
             for i, code in enumerate(langs.to_pylist()):
-                if words[i] and (code or "") in files:
+                if words[i]:
                     by.setdefault(code or "", []).append(i)
             for code, rows in by.items():
-                if code not in scorers:
-                    scorers[code] = Scorer(load(SparkFiles.get(files[code])), max(20_000, 300_000 // len(files)))
-                for i, score in zip(rows, scorers[code].scores([words[i] for i in rows]), strict=True):
+                for i, score in zip(rows, model.scores(code, [words[i] for i in rows]), strict=True):
                     scores[i] = score
             out = [(*base_rules(t, w, min_words, max_repeat), s) for t, w, s in zip(whole, words, scores, strict=True)]
             return [list(c) for c in zip(*out, strict=True)] or [[] for _ in range(7)]
 
-        return common.add_columns(docs, BASE + SCORE, run, [lang, text], dict, keep)
+        return common.add_columns(docs, BASE + SCORE, run, [lang, text], lambda: model_of(name), keep, rows=2048)
 
-    def find_bands(self, scored: DataFrame, lang: str = "lang", width: float = WIDTH, floor: float = FLOOR) -> QualityModel:
-        """Sets the bands from scored rows; only histograms by language are gathered."""
+    def find_bands(self, scored: DataFrame, lang: str = "lang", floor: float = FLOOR) -> QualityModel:
+        """Sets the bands (median and deviation) from scored rows; only histograms by language are gathered."""
         bins = (
             scored.filter(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-            .groupBy(F.coalesce(lang, F.lit("")).alias("code"), F.round(F.col("log_perplexity") / STEP).cast("int").alias("bin"))
+            .groupBy(F.coalesce(lang, F.lit("")).alias("code"), (F.col("n_words") >= MIN_WORDS).alias("long"), F.round(F.col("log_perplexity") / STEP).cast("int").alias("bin"))
             .agg(F.count("*").alias("n"))
         )
-        by: dict[str, list] = {}
+        by: dict[str, dict[bool, list]] = {}
         for r in bins.collect():
-            by.setdefault(r.code, []).append((r.bin, r.n))
-        rows = []
-        for code, pairs in by.items():
+            by.setdefault(r.code, {}).setdefault(r.long, []).append((r.bin, r.n))
+        self.bands = {}
+        for code, found in by.items():
+            pairs = found.get(True) or found[False]
             mid = weighted_median(pairs)
-            sigma = max(floor, 1.4826 * weighted_median([(abs(b - mid), n) for b, n in pairs]) * STEP)
-            rows.append((code, mid * STEP - width * sigma, mid * STEP + width * sigma))
-        self.bands = {code: (low, high) for code, low, high in rows}
+            self.bands[code] = mid * STEP, max(floor, 1.4826 * weighted_median([(abs(b - mid), n) for b, n in pairs]) * STEP)
         return self
 
-    def verdicts(self, scored: DataFrame, lang: str = "lang") -> DataFrame:
+    def verdicts(self, scored: DataFrame, lang: str = "lang", width: float = WIDTH) -> DataFrame:
         """Rows with ``lower``, ``upper`` and ``kept`` appended; the bands are one row a language."""
-        bands = self.spark.createDataFrame([(c, *b) for c, b in self.bands.items()], "__code string, lower double, upper double")
-        joined = scored.join(F.broadcast(bands), F.coalesce(F.col(lang), F.lit("")) == F.col("__code"), "left").drop("__code")
+        bands = self.spark.createDataFrame([(c, *b) for c, b in self.bands.items()], "__code string, __mid double, __sigma double")
+        joined = scored.join(bands, F.coalesce(F.col(lang), F.lit("")) == F.col("__code"), "left")
+        reach = width * F.col("__sigma") * F.sqrt(F.greatest(F.lit(1.0), REFERENCE / F.greatest(F.col("n_words"), F.lit(1))))
+        joined = joined.withColumn("lower", F.col("__mid") - reach).withColumn("upper", F.col("__mid") + reach).drop("__code", "__mid", "__sigma")
         return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False)))
 
 
@@ -367,21 +359,12 @@ def weighted_median(pairs: list[tuple[int, int]]) -> int:
     return 0
 
 
-def kept(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows that pass, with their own columns."""
+def kept(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The rows that pass, with their own columns. Each text is scored once; rows and scores are written, and read again with the bands."""
     model = QualityModel.train(docs, text, lang)
-    scored = model.scored(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")), keep=["lang"])
-    model.find_bands(scored)
-    bands = model.bands
-
-    columns = docs.columns
-    rows = model.scored(docs.select(*[F.col(f"`{c}`") for c in columns], F.col(lang).alias("__lang"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")), text, "__lang", keep=["__row", "__lang"])
-    low = F.create_map(*[x for c, b in bands.items() for x in (F.lit(c), F.lit(b[0]))]) if bands else None
-    high = F.create_map(*[x for c, b in bands.items() for x in (F.lit(c), F.lit(b[1]))]) if bands else None
-    if not bands:
-        return docs.limit(0)
-    code = F.coalesce(F.col("__lang"), F.lit(""))
-    return rows.filter(~F.col("base_failed") & F.col("log_perplexity").between(low[code], high[code])).select("__row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    scored = common.save(model.scored(rows, keep=["row", "lang"], min_words=min_words, max_repeat=max_repeat), "quality-scores")
+    return model.find_bands(scored).verdicts(scored).filter("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
