@@ -12,8 +12,8 @@ from stranda.llm import common, encoders, langid, line_dedup, near_copies, packi
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie outside their language's perplexity band go."""
-    return quality.kept(docs)
+    """Documents without words, of mostly repeated passages, or outside their language's perplexity band go; a short text alone is no fault."""
+    return quality.kept(docs, min_words=1)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
