@@ -2,7 +2,7 @@
 
 Words are runs of anything but ASCII white space. The model is over the characters of a text's words, lower-cased, with one space between words;
 its 5-grams reach over words, so it sees which words follow each other, and every code point is a symbol of its own. Spark counts the 5-grams
-of all documents by language; shorter grams count the different grams that they end. Modified Kneser-Ney weights are kept in one array for all
+of all documents by language, each different text once; shorter grams count the different grams that they end. Modified Kneser-Ney weights are kept in one array for all
 languages, sorted by a 64-bit hash of language, order and gram (with 2**32 keys, one lookup in four thousand million is wrong): it grows with
 the corpus, is written in parts, handed out by Spark and memory-mapped by the scorers. 5-grams seen under LEAST times are left out of
 it (their weight goes to shorter grams), which is what keeps it small on large corpora; that is the one pruning, and a parameter.
@@ -93,6 +93,19 @@ def as_strings(grams: np.ndarray) -> list[str]:
     return [text[i : i + width] for i in range(0, len(text), width)]
 
 
+def distinct_texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(text, lang) with each text of a language once, so that no text is learned by heart from its copies.
+
+    Only texts that repeat are moved; which these are is told by hash and length.
+    """
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang")).filter("text is not null")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("size", F.length("text"))
+    keys = ["h", "size", "lang"]
+    again = common.save(rows.groupBy(keys).agg(F.count("*").alias("n")).filter("n > 1").select(keys), "repeated-texts")
+    once = rows.join(again, keys, "left_anti").select("text", "lang")
+    return once.unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys).select("text", "lang"))
+
+
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, n) over all documents; summed within a task before it is sent."""
 
@@ -132,7 +145,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                     size = 0
         yield from sent()
 
-    rows = common.emit(docs, "lang string, gram string, n bigint", run, [lang, text], rows=2048)
+    rows = common.emit(distinct_texts(docs, text, lang), "lang string, gram string, n bigint", run, ["lang", "text"], rows=2048)
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
