@@ -52,19 +52,42 @@ def test_large_components_stay_exact():
 
 def test_bounds_never_exclude_a_neighbour():
     rng = np.random.default_rng(3)
-    x = rng.integers(-300, 300, (400, 5))
-    pivots = x[:10]
-    group = K.distances(x, pivots).argmin(axis=1)
-    groups = K.Groups({5: pivots})
-    for g in range(10):
-        d = np.sort(K.distances(x[group == g], pivots[[g]])[:, 0])
-        groups.sizes[5][g], groups.radius[5][g], groups.nearest[5][g] = len(d), d.max(initial=0), d[:4].tolist()
-    q = rng.integers(-300, 300, (60, 5))
-    needed = groups.needed(q, 3)
-    assert not needed.all()
-    for i, row in enumerate(q @ x.T):
-        for j in np.argsort(-row)[:3]:
-            assert needed[i, group[j]]
+    middle = rng.integers(-3000, 3000, (10, 5))
+    x, q = (middle[rng.integers(0, 10, n)] + rng.integers(-40, 40, (n, 5)) for n in (400, 60))
+    cells = K.Cells.of(middle)
+    at, of = (K.distances(v, middle).argmin(axis=1) for v in (x, q))
+    scores = q @ x.T
+    third = np.sort(scores, axis=1)[:, -3].astype(float)
+    for c in range(10):
+        cells.sizes[c], cells.radius[c] = (at == c).sum(), K.distances(x[at == c], middle[[c]]).max(initial=0)
+        cells.asked[c], cells.reach[c] = (of == c).sum(), K.distances(q[of == c], middle[[c]]).max(initial=0)
+        cells.floor[c] = third[of == c].min(initial=np.inf) - 500
+    pairs = cells.needed_groups()
+    rows = cells.needed_rows(x, np.arange(10))
+    assert pairs.mean() < 0.7 and rows.mean() < 0.7
+    for i in range(len(q)):
+        for j in np.argsort(-scores[i])[:3]:
+            assert pairs[of[i], at[j]] and rows[j, of[i]]
+    cells.gather(15)
+    assert sorted(c for g in cells.groups for c in g) == np.flatnonzero(cells.asked).tolist()
+    assert all(cells.asked[g].sum() <= 15 * s for g, s in zip(cells.groups, cells.splits, strict=True))
+
+
+def test_clustered_data_is_not_compared_in_full(spark, monkeypatch):
+    for name, value in (("PER_PIVOT", 50), ("CELL", 70)):
+        monkeypatch.setattr(K, name, value)
+    rng = np.random.default_rng(4)
+    middle = rng.normal(0, 1, (12, 8))
+    middle *= 20 / np.linalg.norm(middle, axis=1)[:, None]
+    data = middle[rng.integers(0, 12, 900)] + rng.normal(0, 0.05, (900, 8))
+    rows = [(i, e.tolist()) for i, e in enumerate(data)]
+    v = K.vectors(spark.createDataFrame([(i, e, 1, "") for i, e in rows], SCHEMA))
+    join = K.Join(v, v.filter(f"vec_id % {K.EVERY} = 0"), 5, block=4)
+    got = {}
+    for r in join.best().collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {i: sorted(x) for i, x in got.items()} == brute(rows, 50, 5)
+    assert join.visited() < 0.6
 
 
 def test_few_and_no_rows(spark):
