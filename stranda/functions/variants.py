@@ -211,40 +211,48 @@ def log10_gq(gl: Column, index: Column) -> Column:
     return F.when(lead >= 0, -lead).otherwise(F.log10(1.0 - F.get(normalise_log10(gl), index)))
 
 
-def hwe_of(aa: int, ab: int, bb: int) -> float:
-    """Two-sided exact Hardy-Weinberg p; -1 for counts that can't be."""
+#: Heterozygote counts that are laid out at once.
+HWE_CELLS = 1 << 20
+
+
+def hwe_all(aa: np.ndarray, ab: np.ndarray, bb: np.ndarray) -> np.ndarray:
+    """Two-sided exact Hardy-Weinberg p of many sites; -1 for counts that can't be.
+
+    Given the alleles, h heterozygotes come up with a probability in proportion to n! 2^h / (hom! h! hom'!), for h of the rarer allele's parity. A
+    tail holds the observed count too; p is twice the smaller tail, at most 1.
+    """
+    aa, ab, bb = (np.asarray(x, dtype=np.int64) for x in (aa, ab, bb))
+    out = np.full(len(aa), -1.0)
     n = aa + ab + bb
-    rare = min(2 * aa + ab, 2 * bb + ab)
-    if min(aa, ab, bb) < 0 or n == 0 or ab > rare:
-        return -1.0
-    mid = rare * (2 * n - rare) // (2 * n)
-    if mid % 2 != rare % 2:
-        mid += 1
-    probs = {mid: 1.0}
-    hets, p = mid, 1.0
-    while hets > 1:
-        hom_rare = (rare - hets) // 2
-        hom_common = n - hets - hom_rare
-        p *= hets * (hets - 1) / (4.0 * (hom_rare + 1) * (hom_common + 1))
-        hets -= 2
-        probs[hets] = p
-    hets, p = mid, 1.0
-    while hets <= rare - 2:
-        hom_rare = (rare - hets) // 2
-        hom_common = n - hets - hom_rare
-        p *= 4.0 * hom_rare * hom_common / ((hets + 2.0) * (hets + 1.0))
-        hets += 2
-        probs[hets] = p
-    total = sum(probs.values())
-    upper = sum(v for h, v in probs.items() if h >= ab) / total
-    lower = sum(v for h, v in probs.items() if h <= ab) / total
-    return 1.0 if upper > 0.5 and lower > 0.5 else 2.0 * min(upper, lower)
+    usable = np.flatnonzero((np.minimum(np.minimum(aa, ab), bb) >= 0) & (n > 0))
+    if not len(usable):
+        return out
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n[usable].max() + 1)))])
+    rare = 2 * np.minimum(aa, bb) + ab
+    width = rare // 2 + 1
+    ends = np.cumsum(width[usable])
+    for some in np.split(usable, np.flatnonzero(np.diff(ends // HWE_CELLS)) + 1):
+        w = width[some]
+        starts = np.cumsum(w) - w
+        site = np.repeat(some, w)
+        h = rare[site] % 2 + 2 * (np.arange(len(site)) - np.repeat(starts, w))
+        low = (rare[site] - h) // 2
+        logs = h * np.log(2.0) - factorial[h] - factorial[low] - factorial[n[site] - h - low]
+        p = np.exp(logs - np.repeat(np.maximum.reduceat(logs, starts), w))
+        total = np.add.reduceat(p, starts)
+        upper, lower = (np.add.reduceat(np.where(side, p, 0.0), starts) / total for side in (h >= ab[site], h <= ab[site]))
+        out[some] = np.minimum(1.0, 2 * np.minimum(upper, lower))
+    return out
+
+
+def hwe_of(aa: int, ab: int, bb: int) -> float:
+    return float(hwe_all([aa], [ab], [bb])[0])
 
 
 @pandas_udf(T.DoubleType())
 def hwe(aa: pd.Series, ab: pd.Series, bb: pd.Series) -> pd.Series:
-    """Exact test over one row for each site; its recurrence has no built-in form."""
-    return pd.Series([hwe_of(int(x), int(y), int(z)) for x, y, z in zip(aa, ab, bb, strict=True)], dtype=np.float64)
+    """Exact test over one row for each site, a batch of sites at a time."""
+    return pd.Series(hwe_all(aa.to_numpy(), ab.to_numpy(), bb.to_numpy()))
 
 
 def binomial(n: int, k: int) -> int:

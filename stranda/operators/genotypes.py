@@ -97,15 +97,55 @@ TOKEN = re.compile(r"\"[^\"]*\"|'[^']*'|&&|\|\||==|!=|<=|>=|=~|!~|[A-Za-z_][A-Za
 WORDS = {"&&": "AND", "||": "OR", "==": "=", "!=": "<>", "and": "AND", "or": "OR", "not": "NOT", "!": "NOT", "eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">=", "=~": "RLIKE"}
 
 
-def translate(expression: str, columns: dict[str, str], info: str | None = "info", missing: str = "mismatch") -> Column:
+COMPARED = {"==", "!=", "<", "<=", ">", ">=", "=~", "!~", "eq", "ne", "lt", "le", "gt", "ge"}
+ATTRIBUTE = re.compile(r"""vc\.(has|get)Attribute(?:AsString|AsInt|AsDouble)?\(\s*["']([^"']+)["']\s*(?:,[^()]*)?\)""")
+GENOTYPE = re.compile(r"""vc\.getGenotype\(\s*["']([^"']+)["']\s*\)\.(?:get|is)([A-Za-z]+)\(\)""")
+#: What can be asked of one sample's genotype, over its entry ``g`` of the genotypes.
+OF_GENOTYPE = {
+    "GQ": "try_cast(g.fields['GQ'] AS double)",
+    "DP": "try_cast(g.fields['DP'] AS double)",
+    "Het": "size(array_distinct(split(g.fields['GT'], '[/|]'))) > 1 AND NOT contains(g.fields['GT'], '.')",
+    "HomRef": "NOT g.fields['GT'] RLIKE '[^0/|]'",
+    "HomVar": "size(array_distinct(split(g.fields['GT'], '[/|]'))) = 1 AND NOT g.fields['GT'] RLIKE '^[0.]'",
+    "NoCall": "NOT g.fields['GT'] RLIKE '[^./|]'",
+    "Phased": "contains(g.fields['GT'], '|')",
+}
+
+
+def translate(expression: str, columns: dict[str, str], info: str | None = "info", missing: str = "mismatch", genotypes: str | None = None) -> Column:
     """A boolean expression in the common expression language of variant filters, as a Column.
 
-    Names are bound to columns, then to entries of the INFO map; ``missing``: what a missing value makes of it: mismatch, match or throw.
+    Names are bound to columns, then to entries of the INFO map. An entry is compared as text where the other side is a string or a pattern, as a
+    number otherwise; alone, it stands for a flag. ``vc.hasAttribute("X")``, ``vc.getAttribute("X")``, calls without arguments of bound names
+    (``vc.isSNP()``), and, where ``genotypes`` names that column, ``vc.getGenotype("sample").isHet()`` and the like are understood.
+    ``missing``: what a missing value makes of it: mismatch, match or throw.
     """
+    held: list[str] = []  # SQL that stands for a whole call; its token is its number
+
+    def hold(sql: str) -> str:
+        held.append(sql)
+        return f" __held{len(held) - 1} "
+
+    def attribute(m: re.Match) -> str:
+        if info is None:
+            raise ValueError(f"{m[2]} isn't known")
+        return hold(f"({info}['{m[2]}'] IS NOT NULL)") if m[1] == "has" else f" {m[2]} "
+
+    def genotype(m: re.Match) -> str:
+        if genotypes is None or m[2] not in OF_GENOTYPE:
+            raise ValueError(f"{m[0]} isn't known")
+        return hold(f"(get(transform(filter({genotypes}, g -> g.sample = '{m[1]}'), g -> {OF_GENOTYPE[m[2]]}), 0))")
+
+    tokens = TOKEN.findall(re.sub(r"([A-Za-z_0-9])\(\)", r"\1", GENOTYPE.sub(genotype, ATTRIBUTE.sub(attribute, expression))))
+    beside = lambda i, k: tokens[i + k] if 0 <= i + k < len(tokens) else ""
     out = []
-    for token in TOKEN.findall(expression):
+    for i, token in enumerate(tokens):
         name = token.removeprefix("vc.")
-        if token in WORDS:
+        if token.startswith("__held"):
+            out.append(held[int(token[6:])])
+        elif token == "!~":
+            out.append("NOT RLIKE")
+        elif token in WORDS:
             out.append(WORDS[token])
         elif token[0] in "\"'":
             out.append("'" + token[1:-1].replace("'", "''") + "'")
@@ -114,7 +154,14 @@ def translate(expression: str, columns: dict[str, str], info: str | None = "info
         elif re.match(r"[A-Za-z_]", token) and token not in ("true", "false"):
             if info is None:
                 raise ValueError(f"{token} isn't known")
-            out.append(f"try_cast({info}['{name}'] AS double)")
+            other = beside(i, 2) if beside(i, 1) in COMPARED else beside(i, -2) if beside(i, -1) in COMPARED else None
+            entry = f"{info}['{name}']"
+            if other is None and all(t in ("", "&&", "||", "!", "and", "or", "not", "(", ")") for t in (beside(i, -1), beside(i, 1))):
+                out.append(f"coalesce({entry} = 'true', false)")
+            elif "=~" in (beside(i, 1), beside(i, -1)) or "!~" in (beside(i, 1), beside(i, -1)) or (other or " ")[0] in "\"'":
+                out.append(entry)
+            else:
+                out.append(f"try_cast({entry} AS double)")
         else:
             out.append(token)
     value = F.expr(" ".join(out)).cast("boolean")

@@ -517,7 +517,12 @@ def monomorphic_sites(spark, d):
     return genotypes.is_monomorphic(view(spark, d, "genotypes"), "site")
 
 
-@query()
+@query(cte("genotypes") + """, g AS (SELECT site, count(*) FILTER (WHERE a1 = 0 AND a2 = 0) AS aa, count(*) FILTER (WHERE a1 + a2 = 1 AND least(a1, a2) = 0) AS ab, count(*) FILTER (WHERE a1 = 1 AND a2 = 1) AS bb FROM genotypes GROUP BY site),
+r AS (SELECT *, aa + ab + bb AS n, 2 * least(aa, bb) + ab AS rare FROM g),
+h AS (SELECT site, ab, n, rare, unnest(range(rare % 2, rare + 1, 2)) AS h FROM r WHERE n > 0),
+p AS (SELECT site, ab, h, exp(h * ln(2.0) + lgamma(n + 1) - lgamma(h + 1) - lgamma((rare - h) // 2 + 1) - lgamma(n - h - (rare - h) // 2 + 1) + lgamma(rare + 1) + lgamma(2 * n - rare + 1) - lgamma(2 * n + 1)) AS p FROM h),
+t AS (SELECT site, sum(p) AS total, sum(p) FILTER (WHERE h >= ab) AS up, sum(p) FILTER (WHERE h <= ab) AS low FROM p GROUP BY site)
+SELECT site, round(coalesce(least(1.0, 2 * least(up, low) / total), -1.0), 9) AS p FROM g LEFT JOIN t USING (site)""")
 def hwe(spark, d):
     return genotypes.hardy_weinberg(view(spark, d, "genotypes"), "site").select("site", F.round("p", 9).alias("p"))
 
@@ -696,7 +701,10 @@ def expected_errors(spark, d):
     return view(spark, d, "names").select("c_custkey", F.round(qualities.expected_errors(qualities.phreds(F.col("name"))), 9).alias("errors"))
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT c_custkey, list_transform(string_split(c_name, ''), lambda c: ascii(c) - 33) AS q FROM customer),
+w AS (SELECT c_custkey, q, len(q) AS i, 0 AS total, 0 AS best, len(q) AS keep FROM q
+  UNION ALL SELECT c_custkey, q, i - 1, total + 25 - q[i], greatest(best, total + 25 - q[i]), CASE WHEN total + 25 - q[i] > best THEN i - 1 ELSE keep END FROM w WHERE i > 0 AND total + 25 - q[i] >= 0)
+SELECT c_custkey, CAST(arg_min(keep, i) AS INTEGER) AS keep FROM w GROUP BY c_custkey""")
 def quality_trim_point(spark, d):
     return view(spark, d, "names").select("c_custkey", qualities.trim_point(qualities.phreds(F.col("name")), 25).alias("keep"))
 
