@@ -49,7 +49,7 @@ ORDER = 5
 #: 5-grams seen less often are left to shorter grams.
 LEAST = 2
 #: Different 5-grams that a task sums before it sends them, and characters that are scored at once.
-HELD, CHARS = 400_000, 2_000_000
+HELD, CHARS = 300_000, 500_000
 BASE_OF_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 BASE = [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("base_failed", T.BooleanType())]
@@ -122,7 +122,8 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             for code in held:
                 summed(code)
                 grams, n = held[code][0]
-                yield [[code] * len(n), as_strings(grams), n]
+                for k in range(0, len(n), 1 << 16):
+                    yield [[code] * len(n[k : k + (1 << 16)]), as_strings(grams[k : k + (1 << 16)]), n[k : k + (1 << 16)]]
             held.clear()
 
         size = 0
@@ -145,7 +146,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                     size = 0
         yield from sent()
 
-    rows = common.emit(distinct_texts(docs, text, lang), "lang string, gram string, n bigint", run, ["lang", "text"], rows=2048)
+    rows = common.emit(distinct_texts(docs, text, lang), "lang string, gram string, n bigint", run, ["lang", "text"])
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -335,7 +336,7 @@ class QualityModel:
             out = [(*base_rules(t, w, min_words, max_repeat), s) for t, w, s in zip(whole, words, scores, strict=True)]
             return [list(c) for c in zip(*out, strict=True)] or [[] for _ in range(7)]
 
-        return common.add_columns(docs, BASE + SCORE, run, [lang, text], lambda: model_of(name), keep, rows=2048)
+        return common.add_columns(docs, BASE + SCORE, run, [lang, text], lambda: model_of(name), keep)
 
     def find_bands(self, scored: DataFrame, lang: str = "lang", floor: float = FLOOR) -> QualityModel:
         """Sets the bands (median and deviation) from scored rows; only histograms by language are gathered."""
