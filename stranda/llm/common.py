@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,8 +22,34 @@ SLICE = 512
 SLICE_BYTES = 32 << 20
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; what is written there goes when the driver ends, in whatever store it is."""
+_scratch: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Frees disks: of these scratch tables, and of shuffle files that nothing refers to any more."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        _scratch.remove(path)
+    gc.collect()
+    jvm.System.gc()
+
+
+def made_since(count: int) -> list[str]:
+    """Scratch tables made since there were so many."""
+    return _scratch[count:]
+
+
+def scratch_count() -> int:
+    return len(_scratch)
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that nothing else uses; what is written there goes when the driver ends, in whatever store it is.
+
+    With ``keep`` it isn't counted among those that may be discarded before.
+    """
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if path.startswith(("/", "file:/")):
         atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
@@ -31,6 +58,8 @@ def scratch(spark: SparkSession, name: str) -> str:
         fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         fs.mkdirs(target)
         fs.deleteOnExit(target)
+    if not keep:
+        _scratch.append(path)
     return path
 
 

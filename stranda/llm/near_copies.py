@@ -182,13 +182,25 @@ def rooted(docs: DataFrame, size: int, least: float, text: str, doc_id: str) ->
 
 
 def kept(docs: DataFrame, size: int = SIZE, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component, with its own columns: the one with the smallest doc_id (null only if all are)."""
-    found = rooted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size, least, "text", "doc_id")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("r"))
-    first = first.select(F.col("r.doc_id").alias("__id"), F.col("r.set_id").alias("__first"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
-    run = lambda _, column: [[set_id(shingles(t, size)) for t in common.utf8(column)]]
-    marked = common.add_columns(rows, [T.StructField("__set", T.LongType())], run, ["__text"], keep=["__row", "__doc"])
-    stay = marked.join(first, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__set") == F.col("__first")), "left_semi")
+    """One row of each component, with its own columns: the one with the smallest doc_id (null only if all are).
+
+    Which rows go is settled on the light table of ids. What goes is a part of the rows, so whole rows are only moved where the list of it is too
+    long to be broadcast.
+    """
+    found = rooted(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), size, least, "text", "doc_id")
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # Repeated rows of one document are one document.
-    return stay.dropDuplicates(["__doc", "__set"]).select("__row.*")
+    light = common.save(found.groupBy("doc_id", "set_id").agg(F.min("root").alias("root"), F.first(named).alias("named"), F.count("*").alias("n")), "near-documents")
+    first = light.filter("named").groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("r"), F.lit(True).alias("stays"))
+    first = first.select(F.col("root").alias("first_root"), F.col("r.set_id").alias("first_set"), F.col("r.doc_id").alias("first_doc"))
+    chosen = light.join(first, light.root == first.first_root).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("set_id") == F.col("first_set")))
+    chosen = common.save(chosen.select(F.col("doc_id").alias("id"), F.col("set_id").alias("sid"), "stays", "n"), "near-chosen")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    run = lambda _, column: [[set_id(shingles(t, size)) for t in common.utf8(column)]]
+    marked = common.add_columns(rows, [T.StructField("set", T.LongType())], run, ["text"], keep=["row", "doc"])
+    same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("set") == F.col("sid"))
+    stay = marked.join(chosen.filter("not stays"), same, "left_anti")
+    again = chosen.filter("stays and n > 1")
+    if again.isEmpty():
+        return stay.select("row.*")
+    return stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates(["doc", "set"])).select("row.*")
