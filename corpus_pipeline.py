@@ -36,7 +36,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, encoders.default_path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality_rules), ("language ID", language_id), ("line dedup", dedup_lines), ("SimHash near-dedup", near_dedup), ("packing", pack)]
+#: Scratch tables of the stage that ran last.
+_left: list[str] = []
+
+
+def alone(stage):
+    """A stage that first frees the disks of what the stage before it left: that one's result is written by then, as these docs are read from it."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.discard(spark, _left)
+        before = common.scratch_count()
+        rows = stage(spark, docs, sf_dir)
+        _left[:] = common.made_since(before)
+        return rows
+
+    return run_stage
+
+
+STAGES = [("quality rules", alone(quality_rules)), ("language ID", alone(language_id)), ("line dedup", alone(dedup_lines)), ("SimHash near-dedup", alone(near_dedup)), ("packing", alone(pack))]
 
 #: The models of the first two stages can't be put in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -44,6 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    _left.clear()
     for name, stage in STAGES:
-        docs = common.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        out = common.scratch(spark, name.replace(" ", "-"), keep=True)
+        rows = stage(spark, docs, sf_dir)
+        rows.write.option("compression", "zstd").parquet(f"{out}/rows")
+        docs = spark.read.schema(rows.schema).parquet(f"{out}/rows")
     return docs
