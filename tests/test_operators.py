@@ -179,6 +179,10 @@ def test_expressions(spark):
     keep = lambda e, **k: [r.start for r in df.filter(genotypes.translate(e, names, **k)).collect()]
     assert keep("DP > 5.0") == [5] and keep("vc.CHROM == 'c2' && !(QUAL > 20)") == [7]
     assert keep("DP > 5", missing="match") == [5, 9]
+    assert keep("DP == '10'") == [5] and keep("vc.hasAttribute('DP') && !(DP =~ '^1')") == [7]
+    called = spark.createDataFrame([(1, {"DB": "true"}, [("s", {"GT": "0/1", "GQ": "40"})]), (2, {}, [("s", {"GT": "1|1"})])], "start int, info map<string,string>, genotypes array<struct<sample:string,fields:map<string,string>>>")
+    of = lambda e: [r.start for r in called.filter(genotypes.translate(e, {}, genotypes="genotypes")).collect()]
+    assert of("vc.getGenotype('s').isHet() && vc.getGenotype('s').getGQ() > 30") == [1] and of("vc.getGenotype('s').isHomVar()") == [2] and of("DB") == [1]
     with pytest.raises(Exception, match="missing"):
         keep("DP > 5", missing="throw")
 
