@@ -20,6 +20,8 @@ from stranda.storage import shared_dir
 SLICE = 512
 #: More rows than SLICE make at most so many bytes.
 SLICE_BYTES = 32 << 20
+#: Bytes of rows that go to a Python worker at once, about; both it and the JVM hold that much.
+BATCH_BYTES = 8 << 20
 
 
 _scratch: list[str] = []
@@ -111,12 +113,21 @@ def release() -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if bound <= 0 or bound > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., list], inputs: list[str], setup: Callable[[], object] | None = None, keep: list[str] | None = None, rows: int = SLICE) -> DataFrame:
     """Appends computed columns to rows without moving them.
 
     ``fn(state, *columns)`` gets Arrow arrays of at most ``rows`` rows (SLICE, if they are long) and returns one list or Arrow array per field. ``setup()``
     makes the state once per task. ``keep``: the columns that go on (all, if None); a new column replaces an old one of its name.
     """
+    bound_batches(df.sparkSession)
     names = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     # Plain names on the way, as Spark takes a dot in a column's name here for a field of a struct.
@@ -149,6 +160,7 @@ def emit(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[list[
 
     It gets at most ``rows`` rows at once, and no more than SLICE if they are long.
     """
+    bound_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`").alias(f"__in_{k}") for k, c in enumerate(inputs)])
     from pyspark.sql.pandas.types import to_arrow_schema
 

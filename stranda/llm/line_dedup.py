@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,20 +220,20 @@ class LineDedup:
         cells = (bytes(r.cells) for r in self.filters.orderBy("shard").select("cells").toLocalIterator())
         return common.put_parts(self.spark, "line-filters", chain([head], cells))
 
-    def dropped_lines(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Every row with its kept text and line counts appended: kept_text, n_lines, n_dropped."""
+    def dropped_lines(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+        """Every row with its kept text and line counts appended: kept_text, n_lines, n_dropped. ``keep``: the columns that go on (all, if None)."""
         fields = [T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-        return self._applied(docs, fields, kept_text, text)
+        return self._applied(docs, fields, kept_text, text, keep)
 
     def digests(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Every row with n_lines, n_dropped and the SHA-256 of its kept text appended."""
         fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())]
         return self._applied(docs, fields, kept_digest, text)
 
-    def _applied(self, docs: DataFrame, fields, shape, text: str) -> DataFrame:
+    def _applied(self, docs: DataFrame, fields, shape, text: str, keep: list[str] | None = None) -> DataFrame:
         least, name = self.min_chars, self._filter_file()
         if self.n_hot * 16 > self.exact_bytes:
-            return self._joined(docs, fields, shape, text, name)
+            return self._joined(docs, fields, shape, text, name, keep)
         shared = self.spark.sparkContext.broadcast(b"".join(self.hot().toArrow()["key"].to_pylist()))
 
         def setup():
@@ -244,9 +244,9 @@ class LineDedup:
             filters, exact = state
             return shape(column, [[d in exact for d in found] for found in filters.passed([digests(t, least) for t in common.utf8(column)])])
 
-        return common.add_columns(docs, fields, run, [text], setup)
+        return common.add_columns(docs, fields, run, [text], setup, keep)
 
-    def _joined(self, docs: DataFrame, fields, shape, text: str, name: str) -> DataFrame:
+    def _joined(self, docs: DataFrame, fields, shape, text: str, name: str, keep: list[str] | None) -> DataFrame:
         """For more exact keys than may be broadcast: lines that the filters let through are joined with the exact table; skewed keys are split by AQE."""
         least = self.min_chars
 
@@ -259,7 +259,9 @@ class LineDedup:
         keys = common.emit(docs, "uid binary, key binary", lambda parts: keys_of(Filters(SparkFiles.get(name)), parts), [text])
         # Equal texts share an id, so the set of a text's keys is bounded by its lines.
         found = keys.join(self.hot(), "key", "left_semi").groupBy("uid").agg(F.collect_set("key").alias("gone"))
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+        names = {f.name for f in fields}
+        kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+        rows = docs.select(struct_of(kept).alias("row"), F.col(f"`{text}`").alias("text"))
         rows = common.add_columns(rows, [T.StructField("uid", T.BinaryType())], lambda _, column: [[text_id(t) for t in common.utf8(column)]], ["text"], keep=["row", "text"])
         both = rows.join(found, "uid", "left")
 
@@ -267,9 +269,13 @@ class LineDedup:
             sets = [set(g) if g else frozenset() for g in gone.to_pylist()]
             return shape(column, [[d in s for d in digests(t, least)] for t, s in zip(common.utf8(column), sets, strict=True)])
 
-        names = {f.name for f in fields}
         made = common.add_columns(both, fields, run, ["text", "gone"], keep=["row"])
-        return made.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names], *names_of(fields))
+        return made.select(*[F.col(f"row.`{c}`") for c in kept], *names_of(fields))
+
+
+def struct_of(columns: list[str]) -> Column:
+    """The columns as one struct; of none, a number."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(0)
 
 
 def names_of(fields: list[T.StructField]) -> list[str]:
@@ -346,10 +352,13 @@ def kept_digest(column: pa.Array, gone: list[list[bool]]) -> list:
 def deduplicated(docs: DataFrame, min_docs: int = 10, text: str = "text") -> DataFrame:
     """All rows, with frequent lines taken out of their texts; ``n_chars``, if there, becomes the new length. A null text stays null."""
     state = LineDedup(docs.sparkSession, min_docs).insert(docs, text)
-    rows = state.dropped_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text")))
-    new = F.when(F.col("text").isNull(), None).otherwise(F.col("kept_text"))
-    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: new}
-    if "n_chars" in out:
+    others = [c for c in docs.columns if c != text]
+    # A text goes to the workers once and comes back once.
+    rows = docs.select(struct_of(others).alias("row"), F.col(f"`{text}`").isNull().alias("absent"), F.col(f"`{text}`").alias("text"))
+    rows = state.dropped_lines(rows, keep=["row", "absent"])
+    new = F.when(~F.col("absent"), F.col("kept_text"))
+    out = {c: new if c == text else F.col(f"row.`{c}`") for c in docs.columns}
+    if "n_chars" in others:
         out["n_chars"] = F.when(F.col("n_dropped") > 0, F.length(new)).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[v.alias(c) for c, v in out.items()])
 
