@@ -122,7 +122,8 @@ def possible(a: str, b: str, least: float) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, least: float, text: str) -> DataFrame:
-    """The pairs (a, b) of set ids that reach the similarity; whole sets are made again from one text of each."""
+    """The pairs (a, b) of set ids that reach the similarity; whole sets are made again from one text of each, and freed at the end."""
+    before = common.scratch_count()
     pairs = common.save(pairs.distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     wanted = sets.select("set_id", "__text_hash").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("__text_hash").alias("__text_hash"))
@@ -148,7 +149,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, leas
             mask = pa.array(keep, pa.bool_())
             yield [a.filter(mask), b.filter(mask)]
 
-    return common.save(common.emit(both, "a bigint, b bigint", run, ["a", "b", "x", "y"]), "near-links")
+    used = common.made_since(before)
+    found = common.save(common.emit(both, "a bigint, b bigint", run, ["a", "b", "x", "y"]), "near-links")
+    common.discard(docs.sparkSession, used)
+    return found
 
 
 def links(sets: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LEAST, text: str = "text") -> DataFrame:
@@ -157,6 +161,7 @@ def links(sets: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LEA
     lists = posts.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
     # Nearly all lists hold one set; only the others are gathered.
     shared = common.save(posts.join(lists, "key").distinct(), "near-postings")
+    common.discard(docs.sparkSession, [])
     lead = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("by"), "id", "n", "place")).alias("l")).select("key", "l.id", "l.n", "l.place")
     star = shared.alias("p").join(lead.alias("l"), "key").filter((F.col("p.id") != F.col("l.id")) & possible("p", "l", least))
     star = star.select(F.least("p.id", "l.id").alias("a"), F.greatest("p.id", "l.id").alias("b"))
