@@ -5,10 +5,10 @@ for the prefix before it: what was added is the new turn's span. If the earlier
 rewrites history there, which is reported, and the turn gets no span. Within a span, the text's place is found by rendering the turn with two other
 texts: the outputs agree up to the text and after it. Loss is taken on the texts of assistant turns only.
 
-A template that is any function has every prefix of every conversation rendered, however long, so a rewrite is found however far back it
-reaches; that takes time in proportion to the square of a conversation, and the memory for one. A template may be declared additive (each turn's
-output depends on that turn alone, as the built-in one's does). Then a prefix's output is the one before it and the turn's own, so turns are
-streamed SEGMENT at a time and each is rendered once by itself; each segment is also rendered as a whole, and a difference is an error.
+Every prefix of every conversation is rendered, however long, whatever the template, so a rewrite is found however far back it reaches; that
+takes time in proportion to the square of a conversation, and the memory for one. A template may be declared additive (each turn's output
+depends on that turn alone, as the built-in one's does). Then a role's texts are looked for once, in a turn by itself; each prefix must be the
+one before it and the turn's own output, or it is an error; and a long conversation's output is handed on SEGMENT turns a row.
 
 The built-in template marks turns as ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a line feed. In roles and texts each
 ``<|`` gets a backslash in between, and one more if there are some already, so no control string is left in them and the escape
@@ -21,7 +21,6 @@ their own; a null conv_id is a conversation; tables without rows give tables wit
 from __future__ import annotations
 
 import hashlib
-import math
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from stranda.llm import common
 
-#: Turns of a long conversation that are held at once under an additive template.
+#: Turns of a long conversation's output that make a row under an additive template.
 SEGMENT = 256
 LOSS_ROLES = ("assistant",)
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -44,7 +43,7 @@ _MARKED = re.compile(r"<(\\*)\\\|")
 
 
 def escape(text: str) -> str:
-    return _MARK.sub(r"<\1\\|", text)
+    return _MARK.sub(r"<\1\\|", text) if "|" in text else text
 
 
 def unescape(text: str) -> str:
@@ -101,26 +100,27 @@ class Rendered:
 
 
 class Added:
-    """The same for a template that is declared additive. Where a role's texts lie is found once for each role, in ``places``."""
+    """The same for a template that is declared additive. Where a role's texts lie in a turn is found once for each role, in ``places``."""
 
     def __init__(self, template: Template, turns: list[Turn], places: dict[str, tuple[int | None, int]]):
         self.spans: list[tuple[int, int, int, int] | None] = []
         self.rewrites: list[int] = []
-        parts, at = [], 0
-        for role, text in turns:
+        self.ends = [0]
+        before = ""
+        for k, (role, text) in enumerate(turns):
             if role not in places:
                 if len(places) > 10_000:
                     places.clear()
                 places[role] = text_place(template, [], role)
             head, tail = places[role]
-            part = template([(role, text)])
-            end = at + len(part)
+            now, part = template(turns[: k + 1]), template([(role, text)])
+            at, end = len(before), len(now)
+            if not now.startswith(before) or end - at != len(part) or not now.endswith(part):
+                raise ValueError("a template that is declared additive renders turns otherwise when they follow others")
             self.spans.append((at, end, at + head, end - tail) if head is not None and len(part) - tail >= head else None)
-            parts.append(part)
-            at = end
-        self.text = "".join(parts)
-        if template(turns) != self.text:
-            raise ValueError("a template that is declared additive renders turns otherwise when they follow others")
+            self.ends.append(end)
+            before = now
+        self.text = before
 
 
 def text_place(template: Template, done: list[Turn], role: str) -> tuple[int | None, int]:
@@ -140,20 +140,19 @@ def ordered(rows: DataFrame) -> DataFrame:
     return clean.repartition(parts, "conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "role", "text")
 
 
-def segments(parts: Iterator[list[pa.Array]], size: float) -> Iterator[tuple[object, bool, list[Turn]]]:
-    """(conversation, whether it begins here, turns): runs of at most ``size`` turns."""
+def conversations(parts: Iterator[list[pa.Array]]) -> Iterator[tuple[object, list[Turn]]]:
+    """(conversation, its turns)."""
     held: list[Turn] = []
-    conv, fresh, first = None, True, True
+    conv = None
     for ids, roles, texts in parts:
         for i, role, text in zip(ids.to_pylist(), roles.to_pylist(), texts.to_pylist(), strict=True):
-            if first or i != conv or len(held) >= size:
-                if held:
-                    yield conv, fresh, held
-                    fresh = i != conv
-                held, conv, first = [], i, False
+            if held and i != conv:
+                yield conv, held
+                held = []
+            conv = i
             held.append((role, text))
     if held:
-        yield conv, fresh, held
+        yield conv, held
 
 
 FORMATTED = "conv_id {kind}, part int, formatted string, n_turns int, loss_starts array<int>, loss_ends array<int>, rewrites int"
@@ -163,25 +162,29 @@ def format_conversations(rows: DataFrame, template: Template = render, segment:
     """(conv_id, part, formatted, n_turns, loss_starts, loss_ends, rewrites): formatted text with its loss mask as spans of code points.
 
     A conversation is one row, or, if it is longer than a segment and the template additive, one for each, numbered by part and in order.
+    All its prefixes are rendered and compared before it is cut.
     """
     additive = getattr(template, "additive", False)
 
     def run(parts) -> Iterator[list]:
         places: dict = {}
-        number = 0
         out: list[list] = [[] for _ in range(7)]
         size = 0
-        for conv, fresh, turns in segments(parts, segment if additive else math.inf):
-            number = 0 if fresh else number + 1
+        for conv, turns in conversations(parts):
             made = Added(template, turns, places) if additive else Rendered(template, turns, LOSS_ROLES)
-            spans = [s for s, (role, _) in zip(made.spans, turns, strict=True) if s and role in LOSS_ROLES]
-            row = conv, number, made.text, len(turns), [s[2] for s in spans], [s[3] for s in spans], len(made.rewrites)
-            for target, value in zip(out, row, strict=True):
-                target.append(value)
-            size += len(row[2])
-            if size > 1 << 20:
-                yield out
-                out, size = [[] for _ in range(7)], 0
+            step = segment if additive else len(turns)
+            for number, first in enumerate(range(0, len(turns), step)):
+                end = min(first + step, len(turns))
+                # Under an additive template each turn follows the one before it, so the ends of turns tell where a row begins.
+                begin, stop = (made.ends[first], made.ends[end]) if additive else (0, len(made.text))
+                spans = [s for s, (role, _) in zip(made.spans[first:end], turns[first:end], strict=True) if s and role in LOSS_ROLES]
+                row = conv, number, made.text[begin:stop], end - first, [s[2] - begin for s in spans], [s[3] - begin for s in spans], len(made.rewrites)
+                for target, value in zip(out, row, strict=True):
+                    target.append(value)
+                size += len(row[2])
+                if size > 1 << 20:
+                    yield out
+                    out, size = [[] for _ in range(7)], 0
         yield out
 
     kind = rows.schema["conv_id"].dataType.simpleString()

@@ -61,6 +61,34 @@ def test_additive_rendering_agrees_with_all_prefixes(turns):
     assert (one.text, one.spans, one.rewrites) == (other.text, other.spans, other.rewrites)
 
 
+@pytest.mark.parametrize("additive", [False, True])
+def test_each_successive_prefix_is_rendered_whole(spark, tmp_path, additive):
+    calls = str(tmp_path / "calls")
+
+    def watched(turns):
+        with open(calls, "a") as f:
+            f.write(f"{len(turns)}\n")
+        return C.render(turns)
+
+    watched.additive = additive
+    turns = [(1, i, "assistant" if i % 2 else "user", f"turn {i}", 0, "") for i in range(300)]
+    rows = C.format_conversations(spark.createDataFrame(turns, SCHEMA), watched).orderBy("part").collect()
+    assert "".join(r.formatted for r in rows) == C.render([t[2:4] for t in turns])
+    with open(calls) as f:
+        assert set(range(1, 301)) <= {int(n) for n in f}
+
+
+def test_an_additive_template_that_rewrites_far_back_is_an_error():
+    def drops_second_of_many(turns):
+        return "".join(f"[{r}]{t}\n" for k, (r, t) in enumerate(turns) if k != 1 or len(turns) < 700)
+
+    drops_second_of_many.additive = True
+    turns = [("user", f"turn {i}") for i in range(705)]
+    C.Added(drops_second_of_many, turns[:699], {})
+    with pytest.raises(ValueError, match="additive"):
+        C.Added(drops_second_of_many, turns, {})
+
+
 def plain(rows):
     out = {}
     for conv in {r[0] for r in rows}:
