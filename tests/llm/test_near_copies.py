@@ -74,3 +74,37 @@ def test_stage_drops_edited_copies(spark):
     docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     out = P.near_dedup(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == list(range(30))
+
+
+def test_fingerprints_find_candidates_by_the_byte_index(spark, monkeypatch):
+    texts = edited_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = N.shingle_sets(docs, 5, 0.8, "text", "doc_id")
+    made = {r.doc_id: r for r in sets.collect()}
+    for i, t in enumerate(texts):
+        found = N.shingles((t or "").encode())
+        assert made[i].fp == N.simhash.signed(N.simhash.from_hashes(found)) and made[i].set_id == N.set_id(found)
+    # The links that the index finds for certain are found without the join over shingles.
+    monkeypatch.setattr(N, "postings", lambda rows, *_: spark.createDataFrame([], "key bigint, id bigint, root bigint, n int, place int"))
+    pairs = {frozenset(r) for r in N.links(sets, docs).collect()}
+    by_set = {made[i].set_id: plain(t) for i, t in enumerate(texts)}
+    assert pairs and all(len(by_set[a] & by_set[b]) >= 0.8 * len(by_set[a] | by_set[b]) for a, b in pairs)
+
+
+def test_pairs_are_verified_in_parts_that_free_their_tables(spark, monkeypatch):
+    texts = edited_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts, checked = [], N.checked
+    monkeypatch.setattr(N, "checked", lambda *args: parts.append(1) or checked(*args))
+    monkeypatch.setattr(N, "PART_BYTES", 20_000)
+    monkeypatch.setattr(N, "PART_SHARE", 0)
+    before = N.common.scratch_count()
+    got = {r.doc_id: r.component_id for r in N.rooted(docs, 5, 0.8, "text", "doc_id").collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts) and len(parts) > 3
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in N.common.made_since(before)]
+    assert {"near-pairs", "near-sets", "near-texts", "near-postings", "near-distinct", "near-rest", "near-rooted"}.isdisjoint(left)
+
+
+def test_rows_of_one_document_with_texts_of_one_set_are_one(spark):
+    docs = spark.createDataFrame([(1, "One two"), (1, "one  two"), (1, "one  two"), (2, "one two"), (None, None), (None, None), (3, "")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, (r.text or "").lower().split()) for r in N.kept(docs).collect()) == [(1, ["one", "two"]), (3, [])]
