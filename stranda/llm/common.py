@@ -104,6 +104,30 @@ def put_parts(spark: SparkSession, name: str, parts: Iterable[bytes]) -> str:
     return unique
 
 
+#: Tables that workers hold from task to task, and those that the task at hand has asked for.
+_held: list[dict] = []
+_asked: list[dict] = []
+
+
+def held(table: dict) -> dict:
+    """A table that a worker keeps from task to task, for as long as its tasks ask for it."""
+    _held.append(table)
+    return table
+
+
+def asked(table: dict) -> None:
+    _asked.append(table)
+
+
+def end_task() -> None:
+    """Lets go of what tasks of other stages kept: a worker lives on for stages that have no use for it."""
+    for table in _held:
+        if not any(table is t for t in _asked):
+            table.clear()
+    _asked.clear()
+    release()
+
+
 def release() -> None:
     """Gives memory that a worker no longer uses back to the machine; workers live on from task to task."""
     pa.default_memory_pool().release_unused()
@@ -150,7 +174,7 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[..., li
                 del part, made, columns
             release()
         del state
-        release()
+        end_task()
 
     return source.mapInArrow(run, schema).toDF(*kept, *(f.name for f in fields))
 
@@ -178,7 +202,7 @@ def emit(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[list[
         for columns in fn(parts()):
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
             del columns
-        release()
+        end_task()
 
     return source.mapInArrow(run, schema)
 

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from stranda.llm import common
+
 #: White space other than space, tab and line ends.
 ODD = r"[\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Letters and digits that stay one letter or digit each when a tokenizer normalises and lower-cases them: basic Latin, Latin but for
@@ -172,11 +174,12 @@ class Encoder(Vocabulary):
         return out
 
 
-_made: dict[tuple, Encoder] = {}
+_made: dict[tuple, Encoder] = common.held({})
 
 
 def encoder(path: str, drops_space: bool, most: int = 700_000) -> Encoder:
-    """One for each worker process."""
+    """One for each worker process, while its tasks use it."""
+    common.asked(_made)
     key = (path, drops_space, most)
     if key not in _made:
         _made[key] = Encoder(path, drops_space, most)

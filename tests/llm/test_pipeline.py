@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from stranda.llm import common, langid, line_dedup, quality, simhash
+from stranda.llm import common, encoders, langid, line_dedup, quality, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp int, __text string"
 
@@ -70,3 +70,11 @@ def test_stages_keep_odd_rows_from_crashing(spark, name):
     docs = spark.createDataFrame(rows, SCHEMA)
     out = dict(P.STAGES)[name](spark, docs, "")
     assert out.columns == docs.columns and out.count() <= 4
+
+
+def test_workers_let_go_of_encoders_that_their_tasks_no_longer_use():
+    encoders.encoder(encoders.default_path("byte_bpe_50k.json"), False)
+    common.end_task()
+    assert encoders._made  # the task used it
+    common.end_task()
+    assert not encoders._made
