@@ -131,16 +131,33 @@ def mixed(posts: DataFrame) -> DataFrame:
     return posts.join(lists, "key", "left_semi")
 
 
+def sized(a: str, b: str, least: float) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-6)
+
+
 def possible(a: str, b: str, least: float) -> Column:
     """Whether two sets can reach the similarity if this is the first shingle they share."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
-    return (F.least(n - i, m - j) * F.lit(1 + least) >= (n + m) * F.lit(least) - F.lit(1e-6)) & (F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-6))
+    return F.least(n - i, m - j) * F.lit(1 + least) >= (n + m) * F.lit(least) - F.lit(1e-6)
+
+
+def counted(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, n, m) of rows (a, b, n, m, first), one for each list that two sets share, where these can reach the similarity.
+
+    ``first`` tells whether the sets can reach it if that shingle is the first they share. What the sets share beyond the shorter-reaching prefix lies in
+    that one's rest, so their lists and the longer rest bound what they share.
+    """
+    rest = F.greatest(*[F.ceil(F.col(k) * F.lit(least) - F.lit(1e-9)) for k in "nm"]) - 1
+    pairs = rows.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("c"), F.max("first").alias("first"))
+    return pairs.filter(F.col("first") & ((F.col("c") + rest) * F.lit(1 + least) >= (F.col("n") + F.col("m")) * F.lit(least) - F.lit(1e-6))).select("a", "b", "n", "m")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, least: float, text: str) -> DataFrame:
     """The pairs (a, b) of set ids that reach the similarity, of pairs with their sizes (n, m); part by part."""
     spark, before = docs.sparkSession, common.scratch_count()
-    pairs = common.save(pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m")), "near-pairs")
+    pairs = common.save(pairs, "near-pairs")
     used = common.made_since(before)
     common.discard(spark, [])
     total = pairs.agg(F.sum(F.col("n").cast("long") + F.col("m"))).first()[0] or 0
@@ -213,7 +230,7 @@ def links(sets: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LEA
     """(a, b): links between distinct sets whose components are those of all pairs that reach the similarity."""
     spark, before = docs.sparkSession, common.scratch_count()
     groups = common.save(sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-sizes")
-    candidates = alike_prints(groups, least)
+    candidates = alike_prints(groups, least).distinct()
     used = common.made_since(before)
     prints = verified(candidates, sets, docs, size, least, text)
     common.discard(spark, used)
@@ -230,9 +247,10 @@ def links(sets: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LEA
     common.discard(spark, used)
     # One order of leaders for all lists, so that the sets of one component meet the same few.
     lead = shared.groupBy("key").agg(F.min(F.struct("id", "n", "place", "root")).alias("l")).select("key", "l.*")
-    star = shared.alias("p").join(lead.alias("l"), "key").filter((F.col("p.root") != F.col("l.root")) & possible("p", "l", least))
-    star = star.select(F.col("l.id").alias("a"), F.col("p.id").alias("b"), F.col("l.n").alias("n"), F.col("p.n").alias("m"))
-    first = verified(star, sets, docs, size, least, text)
+    # Two sets' lists may have other leaders, so some that could reach it are left to the second round, where all their lists are counted.
+    star = shared.alias("p").join(lead.alias("l"), "key").filter((F.col("p.root") != F.col("l.root")) & sized("p", "l", least))
+    star = star.select(F.col("l.id").alias("a"), F.col("p.id").alias("b"), F.col("l.n").alias("n"), F.col("p.n").alias("m"), possible("p", "l", least).alias("first"))
+    first = verified(counted(star, least), sets, docs, size, least, text)
 
     before = common.scratch_count()
     again = under_roots(shared, prints.unionByName(first), "near-rooted", "id")
@@ -240,9 +258,9 @@ def links(sets: DataFrame, docs: DataFrame, size: int = SIZE, least: float = LEA
     rest = common.save(mixed(again), "near-rest")
     last = common.made_since(before)[-1:]
     common.discard(spark, used)
-    pairs = rest.alias("p").join(rest.alias("q"), "key").filter((F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & possible("p", "q", least))
-    pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m"))
-    second = verified(pairs, sets, docs, size, least, text)
+    pairs = rest.alias("p").join(rest.alias("q"), "key").filter((F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & sized("p", "q", least))
+    pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m"), possible("p", "q", least).alias("first"))
+    second = verified(counted(pairs, least), sets, docs, size, least, text)
     common.discard(spark, last)
     return prints.unionByName(first).unionByName(second)
 
