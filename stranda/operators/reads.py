@@ -202,10 +202,10 @@ def score_by_length(reference_length: Column, flag: Column) -> Column:
 
 
 def duplicate_sets(reads: DataFrame, score_column: str = "score") -> DataFrame:
-    """(keys, size, representative name): the best read of each set by paired, score and name, by aggregation alone."""
+    """(keys, size, representative name): the best read of each set by paired, score and name, nulls last, by aggregation alone."""
     keyed = duplicate_keys(reads)
     paired = flags.has(F.col("flag"), S.PAIRED).cast("int")
-    best = F.min(F.struct((-paired).alias("p"), (-F.col(score_column)).alias("s"), F.col("read_name").alias("n"), F.col("flag").alias("f")))
+    best = F.min(F.struct((-paired).alias("p"), F.col(score_column).isNull().alias("no_s"), (-F.col(score_column)).alias("s"), F.col("read_name").isNull().alias("no_n"), F.col("read_name").alias("n"), F.col("flag").alias("f")))
     return keyed.groupBy(*KEYS).agg(F.count("*").alias("size"), best.alias("best")).select(*KEYS, "size", F.col("best.n").alias("representative"), F.col("best.f").alias("representative_flag"))
 
 
