@@ -77,21 +77,27 @@ def sniff_bytes(head: bytes) -> str | None:
 
 
 def sniff(spark: SparkSession, path: str) -> str | None:
-    """The format of a file, or of the first file in a folder: by its first bytes, else by its name. Reads HEAD_BYTES at most."""
+    """The format of a file, or of the first one in a folder, whose header may be a part of its own: by its first bytes, else by its name.
+
+    Reads HEAD_BYTES at most.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(conf)
     if fs.getFileStatus(at).isDirectory():
         inside = sorted((f.getPath().getName(), f.getPath(), f.getLen()) for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
-        files = [p for _, p, n in inside if n]
-        if not files:
-            return by_name(path)
-        at = files[0]
-    stream = fs.open(at)
-    try:
-        head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)))
-    finally:
-        stream.close()
+        files = [p for _, p, n in inside if n][:2]
+    else:
+        files = [at]
+    head = b""
+    for file in files:
+        if len(head) >= HEAD_BYTES:
+            break
+        stream = fs.open(file)
+        try:
+            head += inflated(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES - len(head)))))
+        finally:
+            stream.close()
     return sniff_bytes(head) or by_name(path)
 
 

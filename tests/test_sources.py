@@ -143,3 +143,47 @@ def test_metrics_round_trip(spark, tmp_path):
     got, bins = sequences.read_metrics(spark, str(tmp_path / "m"))
     assert [tuple(r) for r in got.collect()] == [("a", "1", "0.123457", "Y"), ("b", None, "?", "N")]
     assert [tuple(r) for r in bins.collect()] == [("1", "5"), ("2", "7")]
+
+
+def test_texts_with_a_header_are_written_by_many_tasks_and_in_order(spark, tmp_path):
+    import glob
+
+    from stranda.sources import formats
+    from stranda.sources import lines as text
+
+    seqs = spark.createDataFrame([(0, "chr2", 9000), (1, "chr1", 9000)], "ref_index int, name string, length bigint")
+    rows = spark.range(3000).selectExpr("concat('chr', id % 2 + 1) as contig", "id * 7 % 3001 + 1 as start", "id * 7 % 3001 + 5 as end", "id % 3 = 0 as negative", "cast(id as string) as name")
+    # Small parts aren't joined.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        features.write_interval_list(rows, seqs, str(tmp_path / "il"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [len(open(f).readlines()) for f in sorted(glob.glob(f"{tmp_path}/il/part-*"))]
+    assert max(sizes) < 2000 and sum(sizes) == 3003
+    got = lines(tmp_path / "il")
+    assert got[:3] == ["@HD\tVN:1.6", "@SQ\tSN:chr2\tLN:9000", "@SQ\tSN:chr1\tLN:9000"]
+    places = [(x.split("\t")[0] != "chr2", int(x.split("\t")[1])) for x in got[3:]]
+    assert places == sorted(places) and len(places) == 3000
+    assert formats.sniff(spark, str(tmp_path / "il")) == "interval_list"
+    numbered = text.numbered(spark, str(tmp_path / "il"))
+    by_file = {}
+    for r in numbered.collect():
+        by_file.setdefault(r.file, []).append(r.line)
+    assert sorted(len(x) for x in by_file.values()) == sorted(s for s in sizes if s) and all(sorted(x) == list(range(len(x))) for x in by_file.values())
+    # Lines aren't moved to be numbered: each split is one row.
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
+def test_lines_of_a_file_read_in_many_splits_are_numbered(spark, tmp_path):
+    from stranda.sources import lines as text
+
+    path = put(tmp_path, "long.txt", "".join("\n" if i % 10 == 3 else f"{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert all(r.value in ("", str(r.line)) for r in text.numbered(spark, path).collect()) and text.numbered(spark, path).select("line").distinct().count() == 5000
+        full = [str(i) for i in range(5000) if i % 10 != 3]
+        assert [r.value for r in text.numbered(spark, path, skip_blank=True).orderBy("line").collect()] == full
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
