@@ -44,7 +44,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def header(spark: SparkSession, path: str) -> DataFrame:
     """(line, kind, fields): header lines; ``fields`` maps two-letter keys to values."""
-    rows = lines.numbered(spark, path).filter(F.col("value").rlike(HEADER))
+    rows = lines.numbered(spark, path).filter(F.col("value").startswith("@") & F.col("value").rlike(HEADER))
     parts = F.slice(F.split("value", "\t"), 2, 1 << 20)
     pairs = F.filter(parts, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:"))
     keyed = F.map_from_arrays(F.transform(pairs, lambda x: F.substring(x, 1, 2)), F.transform(pairs, lambda x: F.substring(x, 4, 1 << 30)))
