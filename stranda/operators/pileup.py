@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stranda import schema as S
@@ -31,8 +31,28 @@ def aligned_bases(reads: DataFrame, min_mapq: int = 0, min_quality: int = 0) ->
 
 
 def depth(reads: DataFrame, min_mapq: int = 0, min_quality: int = 0) -> DataFrame:
-    """(contig, pos, depth) of covered loci; summed before the shuffle."""
-    return aligned_bases(reads, min_mapq, min_quality).groupBy("contig", "pos").agg(F.count("*").alias("depth"))
+    """(contig, pos, depth) of covered loci: from stretches of equal depth; only a filter on base quality needs each base."""
+    if min_quality > 0 and "quals" in reads.columns:
+        return aligned_bases(reads, min_mapq, min_quality).groupBy("contig", "pos").agg(F.count("*").alias("depth"))
+    return loci(stretches(reads, min_mapq))
+
+
+def loci(runs: DataFrame) -> DataFrame:
+    """(contig, pos, depth): each locus of stretches."""
+    return runs.select("contig", F.explode(F.sequence("start", "end")).alias("pos"), "depth")
+
+
+def stretches(reads: DataFrame, min_mapq: int = 0) -> DataFrame:
+    """Stretches (contig, start, end, depth) of equal depth above 0, cut at tiles' ends: blocks are cut to their tiles first, so nothing is carried over."""
+    block = usable(reads, min_mapq).select("contig", F.explode(C.blocks(F.col("start"), C.elements(F.col("cigar")))).alias("b"))
+    ends = block.select("contig", F.col("b.ref_start").alias("start"), (F.col("b.ref_start") + F.col("b.len") - 1).alias("end")).filter("end >= start")
+    tile = F.explode(F.sequence(F.floor(F.col("start") / tiles.TILE).cast("int"), F.floor(F.col("end") / tiles.TILE).cast("int"))).alias("__tile")
+    low = F.col("__tile") * tiles.TILE
+    event = F.explode(F.array(F.struct(F.greatest("start", low).alias("pos"), F.lit(1).alias("d")), F.struct((F.least("end", low + (tiles.TILE - 1)) + 1).alias("pos"), F.lit(-1).alias("d"))))
+    edge = ends.select("contig", "start", "end", tile).select("contig", "__tile", event.alias("e")).groupBy("contig", "__tile", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("delta")).filter("delta <> 0")
+    in_tile = Window.partitionBy("contig", "__tile").orderBy("pos")
+    runs = edge.select("contig", F.col("pos").alias("start"), (F.lead("pos").over(in_tile) - 1).alias("end"), F.sum("delta").over(in_tile.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    return runs.filter("depth > 0")
 
 
 def depth_in(reads: DataFrame, intervals: DataFrame, min_mapq: int = 0, min_quality: int = 0) -> DataFrame:
@@ -67,12 +87,13 @@ def coverage(reads: DataFrame, min_mapq: int = 0) -> DataFrame:
 
 
 def capped(reads: DataFrame, most: int) -> DataFrame:
-    """Per locus at most so many bases, first by read start and name (a plain limit for each locus)."""
-    from pyspark.sql import Window
+    """(contig, pos, depth) with at most so many bases counted per locus (a plain limit for each locus)."""
+    return loci(capped_stretches(reads, most).filter("depth > 0"))
+
 
-    rows = aligned_bases(reads)
-    rank = F.row_number().over(Window.partitionBy("contig", "pos").orderBy(F.col("offset").desc(), "read_name"))
-    return rows.withColumn("__rank", rank).filter(F.col("__rank") <= most).groupBy("contig", "pos").agg(F.count("*").alias("depth"))
+def capped_stretches(reads: DataFrame, most: int, min_mapq: int = 0) -> DataFrame:
+    """Stretches with depths of at most so many bases: which bases a limit leaves doesn't change how many there are."""
+    return stretches(reads, min_mapq).withColumn("depth", F.least("depth", F.lit(most).cast("long")))
 
 
 def with_reference(loci: DataFrame, reference: DataFrame) -> DataFrame:
