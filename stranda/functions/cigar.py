@@ -15,10 +15,9 @@ def is_valid_text(cigar: Column) -> Column:
 
 def elements(cigar: Column) -> Column:
     """array<struct<len,op>>; null for a text that isn't a CIGAR."""
-    parts = F.regexp_extract_all(cigar, F.lit(r"([0-9]+)([MIDNSHP=X])"), F.lit(0))
-    made = F.transform(parts, lambda p: F.struct(F.expr("int(0)").alias("zero"), p.alias("text")))
-    made = F.transform(made, lambda p: F.struct(F.substring(p["text"], F.lit(1), F.length(p["text"]) - 1).cast("int").alias("len"), F.right(p["text"], F.lit(1)).alias("op")))
-    return F.when(is_valid_text(cigar), made)
+    part = F.lit(r"([0-9]+)([MIDNSHP=X])")
+    known = F.when(is_valid_text(cigar), cigar)
+    return F.arrays_zip(F.regexp_extract_all(known, part, F.lit(1)).cast("array<int>"), F.regexp_extract_all(known, part, F.lit(2))).cast("array<struct<len:int,op:string>>")
 
 
 def text(parts: Column) -> Column:
@@ -48,6 +47,12 @@ def reference_length(parts: Column) -> Column:
     return total(parts, REF_OPS)
 
 
+def text_end(start: Column, cigar: Column) -> Column:
+    """``alignment_end`` from the text, without its elements."""
+    lengths = F.regexp_extract_all(F.when(is_valid_text(cigar), cigar), F.lit(f"([0-9]+)[{REF_OPS}]"), F.lit(1)).cast("array<int>")
+    return start + F.aggregate(lengths, F.lit(0), lambda acc, n: acc + n) - 1
+
+
 def padded_reference_length(parts: Column) -> Column:
     return total(parts, REF_OPS + "P")
 
@@ -210,6 +215,13 @@ def mate_overlap_to_clip(start: Column, parts: Column, mate_start: Column) -> Co
     )
 
 
+def is_sound(cigar: Column) -> Column:
+    """Whether a text is a CIGAR with an element at least and without ``errors``: the same rules as patterns over the text, far cheaper; null stays null."""
+    ops = F.regexp_replace(cigar, "[0-9]+", "")
+    wrong = r"^.+H.+$|[^H].*S.*[^H]|^P|P$|II|DD|^[^M=XIDN]*$"
+    return is_valid_text(cigar) & (cigar != "*") & ~cigar.rlike("(?:^|[A-Z=])0+[A-Z=]") & ~ops.rlike(wrong)
+
+
 def errors(parts: Column) -> Column:
     """Array of what is wrong: zero lengths, misplaced clips or padding, neighbouring indels, no real operator."""
     n = F.size(parts)
