@@ -45,18 +45,20 @@ def overlap_anti(left: DataFrame, right: DataFrame, contained: bool = False, wid
 
 
 def _matching(left: DataFrame, right: DataFrame, how: str, contained: bool, width: int) -> DataFrame:
-    # Rows are told apart by their values and a count of equal ones, so no row number has to be made up.
-    counted = left.groupBy(*left.columns).agg(F.count("*").alias("__n"))
-    pairs = overlap_join(counted, right.select("contig", "start", "end"), width=width)
+    # A row within one bin meets its matches there, so it is moved once, with that bin. Of rows over several bins only the places are posted.
+    within = F.coalesce(F.floor(F.col("start") / width) == F.floor(F.col("end") / width), F.lit(True))
+    table = right.select(F.col("contig").alias("__contig"), F.col("start").alias("__b_start"), F.col("end").alias("__b_end")).filter("__b_end >= __b_start")
+    posted = table.withColumn("__b_bin", F.explode(F.sequence(F.floor(F.col("__b_start") / width), F.floor(F.col("__b_end") / width))))
+    one = left.filter(within).withColumn("__bin", F.floor(F.col("start") / width))
+    meets = (F.col("start") >= F.col("__b_start")) & (F.col("end") <= F.col("__b_end")) if contained else (F.col("start") <= F.col("__b_end")) & (F.col("end") >= F.col("__b_start"))
+    near = one.join(posted, (F.col("contig") == F.col("__contig")) & (F.col("__bin") == F.col("__b_bin")) & (F.col("end") >= F.col("start")) & meets, how).drop("__bin")
+    several = left.filter(~within)
+    pairs = overlap_join(several.select("contig", "start", "end").distinct(), right.select("contig", "start", "end"), width=width)
     if contained:
         pairs = pairs.filter((F.col("a.start") >= F.col("b.start")) & (F.col("a.end") <= F.col("b.end")))
-    hit = pairs.select("a.*").distinct()
-    same = [counted[c].eqNullSafe(hit[c]) for c in left.columns]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    kept = counted.join(hit, condition, how)
-    return kept.select(*left.columns, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).drop("__k")
+    hit = pairs.select(F.col("a.contig").alias("__contig"), F.col("a.start").alias("__start"), F.col("a.end").alias("__end")).distinct()
+    far = several.join(hit, (F.col("contig") == F.col("__contig")) & (F.col("start") == F.col("__start")) & (F.col("end") == F.col("__end")), how)
+    return near.unionByName(far)
 
 
 def contained_join(outer: DataFrame, inner: DataFrame, width: int = BIN) -> DataFrame:

@@ -58,7 +58,7 @@ def stretches(reads: DataFrame, min_mapq: int = 0) -> DataFrame:
 def depth_in(reads: DataFrame, intervals: DataFrame, min_mapq: int = 0, min_quality: int = 0) -> DataFrame:
     """Depth at every locus of disjoint intervals, 0 included."""
     zero = intervals.select("contig", F.explode(F.sequence(F.col("start").cast("int"), F.col("end").cast("int"))).alias("pos"), F.lit(0).cast("long").alias("depth"))
-    near = joins.overlap_semi(reads.withColumn("end", C.alignment_end(F.col("start"), C.elements(F.col("cigar")))).filter("end >= start"), intervals)
+    near = joins.overlap_semi(reads.withColumn("end", C.text_end(F.col("start"), F.col("cigar"))).filter("end >= start"), intervals)
     covered = depth(near, min_mapq, min_quality).join(zero.select("contig", "pos"), ["contig", "pos"], "left_semi")
     return zero.unionByName(covered.select("contig", "pos", "depth")).groupBy("contig", "pos").agg(F.sum("depth").alias("depth"))
 

@@ -88,7 +88,7 @@ def sequences(spark: SparkSession) -> DataFrame:
 
 def spanned(reads: DataFrame) -> DataFrame:
     """Reads with their alignment end."""
-    return reads.withColumn("end", C.alignment_end(F.col("start"), C.elements(F.col("cigar"))))
+    return reads.withColumn("end", C.text_end(F.col("start"), F.col("cigar")))
 
 
 def cte(*names: str) -> str:
