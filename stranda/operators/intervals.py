@@ -93,17 +93,23 @@ def numbered(gaps: DataFrame, sequences: DataFrame) -> DataFrame:
     return named.select("contig", "start", "end", F.lit(False).alias("negative"), F.concat(F.lit("interval-"), (F.col("__offset") + F.col("__rank")).cast("string")).alias("name"))
 
 
-def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairwise intersections, with the strand of the right side and both names, merged."""
-    a, b = full(left), full(right)
+def intersect(left: DataFrame, right: DataFrame, names: bool = True) -> DataFrame:
+    """All pairwise intersections, with the strand of the right side and both names, merged.
+
+    Without ``names`` they are null and aren't carried along: places and strands are the same, as names only order what agrees in both.
+    """
+    keep = COLUMNS if names else COLUMNS[:4]
+    a, b = full(left).select(*keep), full(right).select(*keep)
     pairs = joins.overlap_join(a, b)
     pieces = pairs.select(
         F.col("a.contig").alias("contig"),
         F.greatest("a.start", "b.start").alias("start"),
         F.least("a.end", "b.end").alias("end"),
         F.col("b.negative").alias("negative"),
-        F.concat(F.coalesce("a.name", F.lit("null")), F.lit(" intersection "), F.coalesce("b.name", F.lit("null"))).alias("name"),
+        *([F.concat(F.coalesce("a.name", F.lit("null")), F.lit(" intersection "), F.coalesce("b.name", F.lit("null"))).alias("name")] if names else []),
     )
+    if not names:
+        pieces = pieces.distinct()
     return merge(pieces, save=True)
 
 

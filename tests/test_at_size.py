@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from stranda.functions import cigar
-from stranda.operators import joins, pileup, tiles, validation
+from stranda.operators import intervals, joins, pileup, tiles, validation
 
 
 def plan(df):
@@ -61,3 +61,14 @@ def test_rows_of_one_bin_are_joined_as_they_are(spark):
             assert sorted(map(tuple, joins.overlap_anti(A, B, contained, width).collect()), key=repr) == sorted(miss, key=repr)
     # Whole rows are neither counted nor told apart: only places are made distinct.
     assert not any("name#" in x for x in plan(joins.overlap_semi(A, B)).splitlines() if "Aggregate [" in x)
+
+
+def test_intersections_without_names_are_the_same_places(spark):
+    iv = "contig string, start bigint, end bigint, negative boolean, name string"
+    rng = random.Random(9)
+    some = lambda n: spark.createDataFrame([(rng.choice(["c1", "c2"]), s, s + rng.randint(0, 20), rng.random() < 0.5, f"n{i}") for i, s in enumerate(rng.randint(1, 900) for _ in range(n))], iv)
+    a, b = some(60), some(40)
+    key = ["contig", "start", "end", "negative"]
+    plain = intervals.intersect(a, b, names=False)
+    assert sorted(map(tuple, plain.select(*key).collect())) == sorted(map(tuple, intervals.intersect(a, b).select(*key).collect()))
+    assert plain.filter("name is not null").count() == 0 and plain.count() > 5
